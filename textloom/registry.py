@@ -38,3 +38,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return authors.select(F.lit("authors").alias("field_name"), F.col("id").cast("long").alias("record_id"), "pos", "val").unionByName(
         topics.select(F.lit("multiple_topics").alias("field_name"), F.col("doc_id").cast("long").alias("record_id"), "pos", "val")
     )
+
+
+def load() -> None:
+    """Import the query modules of all families."""
+    import importlib
+    import pkgutil
+
+    from textloom import queries
+
+    for module in pkgutil.iter_modules(queries.__path__):
+        importlib.import_module(f"{queries.__name__}.{module.name}")
