@@ -17,8 +17,7 @@ def normalize_answer(text: Column) -> Column:
 
 def answer_tokens(text: Column) -> Column:
     """Tokens of the normalised text; an empty array for null, empty and article-only texts."""
-    normal = normalize_answer(F.coalesce(text, F.lit("")))
-    return F.when(normal == "", F.array().cast("array<string>")).otherwise(F.split(normal, " "))
+    return F.filter(F.split(normalize_answer(F.coalesce(text, F.lit(""))), " "), lambda t: t != "")
 
 
 def exact_match(gold: Column, predicted: Column) -> Column:
@@ -27,18 +26,17 @@ def exact_match(gold: Column, predicted: Column) -> Column:
 
 def token_f1(gold: Column, predicted: Column) -> Column:
     """F1 of the token multisets; with an empty side 1 if both are empty, else 0."""
-    g, p = answer_tokens(gold), answer_tokens(predicted)
 
     def times(tokens: Column, token: Column) -> Column:
         return F.size(F.filter(tokens, lambda x: x == token))
 
-    shared = F.aggregate(F.array_distinct(g), F.lit(0), lambda n, t: n + F.least(times(g, t), times(p, t)))
-    precision, recall = shared / F.size(p), shared / F.size(g)
-    return (
-        F.when((F.size(g) == 0) | (F.size(p) == 0), (F.size(g) == F.size(p)).cast("double"))
-        .when(shared == 0, F.lit(0.0))
-        .otherwise(2 * precision * recall / (precision + recall))
-    )
+    def score(g: Column, p: Column) -> Column:
+        shared = F.aggregate(F.array_distinct(g), F.lit(0), lambda n, t: n + F.least(times(g, t), times(p, t)))
+        return F.when((F.size(g) == 0) | (F.size(p) == 0), (F.size(g) == F.size(p)).cast("double")).otherwise(2 * shared / (F.size(g) + F.size(p)))
+
+    # the tokens are bound to a lambda's variable, so each text is normalised once
+    sides = F.array(F.struct(answer_tokens(gold).alias("g"), answer_tokens(predicted).alias("p")))
+    return F.get(F.transform(sides, lambda s: score(s.g, s.p)), F.lit(0))
 
 
 def words(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,11 +61,19 @@ def codebooks(texts: DataFrame, key: str, text: str, lossless: bool = True) -> D
     symbols = texts.select(F.col(key).cast("long").alias("key"), F.explode(F.split(text, "")).alias("symbol")).filter("symbol <> ''")
     counts = symbols.groupBy("key", "symbol").agg(F.count("*").alias("n"))
 
-    def code(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["n", "symbol"], ascending=[False, True], kind="stable")
-        return frame.assign(probability=frame.n / frame.n.sum(), code=shannon_fano(frame.n.tolist(), lossless))
+    # one row a text: as many entries as its alphabet has symbols
+    listed = counts.groupBy("key").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("less"), "symbol"))).alias("s"))
+
+    def code(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for key, symbols in frame.itertuples(index=False, name=None):
+                n = [-int(x["less"]) for x in symbols]
+                total = sum(n)
+                rows += [(key, x["symbol"], k, k / total, c) for x, k, c in zip(symbols, n, shannon_fano(n, lossless), strict=True)]
+            yield pd.DataFrame(rows, columns=["key", "symbol", "n", "probability", "code"])
 
-    return counts.groupBy("key").applyInPandas(code, "key long, symbol string, n long, probability double, code string")
+    return listed.mapInPandas(code, "key long, symbol string, n long, probability double, code string")
 
 
 def compression(books: DataFrame, bits_per_symbol: int = 8) -> DataFrame:
