@@ -38,7 +38,7 @@ class Packing:
 #: Degrees, particles of surnames, words that end the name of a group.
 _DEGREE = ",\\s*(?:MD|M\\.D\\.|PhD|Ph\\.D\\.|DSc|MSc|MPH|FRCP|RN|Jr\\.?|Sr\\.?)" + _END
 _PHASE = ",\\s*(?i:phase)\\s+[IVX\\d]+\\s+\\w+\\.?"
-_JOINED = "\\w+\\s+(?:and|&)\\s+\\w+\\s+(?i:cons?o\\w*m|alliance|collaboration)\\b"
+_JOINED = "\\w+\\s+(?:and|&)\\s+\\w+\\s+(?i:cons?o\\w*m\\b|cons\\.|alliance\\b|collaboration\\b)"
 _SURNAME_FIRST = (
     f"{_START}(?:(?i:van\\s+der|van\\s+den|van|von|v\\.\\s?d\\.|de\\s+la|de|di|da|dos|el|al)\\s+)?"
     f"[\\p{{L}}'’\\-]+\\s?,[ \\u00a0]*(?=[\\p{{L}}])[^,;|/\\n\\t{OPEN}]+"
