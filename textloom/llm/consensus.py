@@ -44,9 +44,9 @@ def consensus(
     at: str,
     loaded: str,
     levels: int = 4,
-    rounds: int = 6,
-    alpha: float = 2.0,
-    beta: float = 16.0,
+    rounds: int = 8,
+    alpha: float = 0.5,
+    beta: float = 64.0,
 ) -> tuple[DataFrame, DataFrame]:
     """Items (``*item, level, confidence, agreement, n_users``) and annotators (``user, n_items, accuracy, reliability``).
 

@@ -127,7 +127,7 @@ def _ends_here(text: str, mark: int, after: int, tail: int, start: int, end: int
     if not _opens(text, nxt, end):
         # after a full stop that is no abbreviation's, a small letter is careless typing
         plain = last == "." and run == 1 and tail == after and text[nxt].islower() and mark - 2 >= start
-        return plain and text[mark - 1].isalnum() and text[mark - 2].isalnum() and not _abbreviation(text, mark, start)
+        return plain and (text[mark - 1] in "%)°" or text[mark - 1].isdigit() or text[mark - 2 : mark].isalnum()) and not _abbreviation(text, mark, start)
     if last != "." or run > 1:
         return True
     if tail > after and text[after:tail].strip():
@@ -135,13 +135,14 @@ def _ends_here(text: str, mark: int, after: int, tail: int, start: int, end: int
     kind = _abbreviation(text, mark, start)
     if kind in ("inner", "title"):
         return False
-    if kind == "number":
+    lone = mark - 2 < start or not (text[mark - 2].isalnum() or text[mark - 2] in "-−_'’")
+    if kind == "number" and not (lone and text[mark - 1].isupper() and text[nxt].isupper()):
         return not text[nxt].isdigit()
     word = _WORD.match(text, nxt, end)
     if kind == "either":
         return not (word and word.group() in _FOLLOWERS)
     before = text[mark - 1] if mark > start else ""
-    if before.isalpha() and (mark - 2 < start or not (text[mark - 2].isalnum() or text[mark - 2] in "-−_'’")):
+    if before.isalpha() and lone:
         # a letter by itself is an initial, unless it names a vitamin, group or part
         if before.isupper() or not before.islower():
             lead = text[max(start, mark - 24) : mark - 1].rstrip()
