@@ -35,28 +35,28 @@ def cooccurring_pairs(baskets: DataFrame, basket: str, item: str, min_count: int
     usable = counts.filter(F.col("m") >= min_count)
     if min_lift > 0:
         usable = usable.filter(F.col("m") * F.lit(min_lift) <= F.lit(n))
-    usable = scratch.write(usable, "items")
-    if min_count > 1 or min_lift > 0:
-        # What is nearly everywhere goes first: at most min_lift * (mean basket size) items, so small.
-        if min_lift > 0:
-            everywhere = counts.filter(F.col("m") * F.lit(min_lift) > F.lit(n)).select("x")
-            rows = rows.join(everywhere, "x", "left_anti")
-        rows = rows.join(usable.select("x"), "x", "left_semi")
+    # numbers in the order of the items: pairs are shuffled as two longs, not as two texts
+    usable = scratch.write(usable.orderBy("x").withColumn("i", F.monotonically_increasing_id()), "items")
+    if min_lift > 0:
+        # what is nearly everywhere goes first: at most min_lift * (mean basket size) items, so small
+        everywhere = scratch.write(counts.filter(F.col("m") * F.lit(min_lift) > F.lit(n)).select("x"), "everywhere")
+        rows = rows.join(F.broadcast(everywhere), "x", "left_anti")
+    rows = rows.join(usable.select("x", "i"), "x").select("c", "i")
     large = rows.groupBy("c").count().filter(F.col("count") > LARGE_BASKET).select("c", F.lit(True).alias("large"))
     rows = rows.join(large, "c", "left")
-    left = rows.withColumn("salt", F.when(F.col("large"), F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")).otherwise(0))
+    left = rows.withColumn("salt", F.when(F.col("large"), F.pmod(F.xxhash64("i"), F.lit(SALTS)).cast("int")).otherwise(0))
     right = rows.withColumn("salt", F.explode(F.when(F.col("large"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
     pairs = (
-        left.select("c", "salt", F.col("x").alias("item_1"))
-        .join(right.select("c", "salt", F.col("x").alias("item_2")), ["c", "salt"])
-        .filter(F.col("item_1") < F.col("item_2"))
-        .groupBy("item_1", "item_2")
+        left.select("c", "salt", F.col("i").alias("i_1"))
+        .join(right.select("c", "salt", F.col("i").alias("i_2")), ["c", "salt"])
+        .filter(F.col("i_1") < F.col("i_2"))
+        .groupBy("i_1", "i_2")
         .agg(F.count("*").alias("k"))
         .filter(F.col("k") >= min_count)
     )
-    a = usable.select(F.col("x").alias("item_1"), F.col("m").alias("a"))
-    b = usable.select(F.col("x").alias("item_2"), F.col("m").alias("b"))
-    pairs = pairs.join(a, "item_1").join(b, "item_2").withColumn("n", F.lit(n).cast("long"))
+    a = usable.select(F.col("i").alias("i_1"), F.col("x").alias("item_1"), F.col("m").alias("a"))
+    b = usable.select(F.col("i").alias("i_2"), F.col("x").alias("item_2"), F.col("m").alias("b"))
+    pairs = pairs.join(a, "i_1").join(b, "i_2").drop("i_1", "i_2").withColumn("n", F.lit(n).cast("long"))
     if min_lift > 0:
         pairs = pairs.filter(F.col("k") * F.col("n") >= F.lit(min_lift) * F.col("a") * F.col("b"))
     lift = F.col("k") * F.col("n") / (F.col("a").cast("double") * F.col("b"))
