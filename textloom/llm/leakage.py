@@ -35,9 +35,17 @@ _WORDS = re.compile(r"[^\W_]+")
 
 def words(text: str) -> list[str]:
     """Words as compared: no case, accents, punctuation, markup, note marks, soft or line-end hyphens."""
-    text = _HIDDEN.sub("", html.unescape(text))
-    text = _WRAP.sub("", _TAGS.sub("", text))
-    text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).casefold()
+    # each step runs only where its characters occur: most texts need few of them
+    if "&" in text:
+        text = html.unescape(text)
+    if not text.isascii():
+        text = _HIDDEN.sub("", text)
+    text = _TAGS.sub("", text) if "<" in text or "[" in text or not text.isascii() else text
+    text = _WRAP.sub("", text) if "\n" in text else text
+    if not text.isascii():
+        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).casefold()
+    else:
+        text = text.lower()
     return _WORDS.findall(_POINT.sub("", text))
 
 
