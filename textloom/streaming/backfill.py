@@ -47,6 +47,6 @@ def daily(rows: DataFrame, date: str, key: str | None = None) -> DataFrame:
 
 def event_windows(events: DataFrame, time: str = "ts", kind: str = "event_type", value: str = "value", length: str = "1 hour", late: str = "1 day") -> DataFrame:
     """``start, kind, n, total`` of tumbling windows; the watermark bounds the state when ``events`` is a stream."""
-    held = events.withWatermark(time, late) if events.isStreaming else events
+    held = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if events.isStreaming else events
     rows = held.groupBy(F.window(time, length).alias("w"), F.col(kind).alias("kind")).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
     return rows.select(F.col("w.start").alias("start"), "kind", "n", "total")
