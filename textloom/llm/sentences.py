@@ -48,6 +48,7 @@ _MARK = re.compile(r"[.!?…。！？．｡।॥؟۔]+|[“”„«»‹›()\[
 _AFTER = re.compile(rf"(?:[{re.escape(CLOSERS)}]|</\w+>|<sup>[^<>]*</sup>|[¹²³⁴-⁹⁰]|[^\S\n]+[»”](?=[\s,.]|$))*")
 _BLANK = re.compile(r"[\s​﻿]*")
 _ENDS = re.compile(r"[\s​﻿]+$")
+_SHORT = re.compile(r"[^\W\d_]{1,2}\.")
 _WORD = re.compile(r"[^\W\d_]+")
 _THAI = re.compile(r"(?<=[฀-๿])\s+(?=[฀-๿A-Z\"“(])")
 _FULL = frozenset("。！？．｡।॥")
@@ -143,6 +144,8 @@ def _ends_here(text: str, mark: int, after: int, tail: int, start: int, end: int
         return not (word and word.group() in _FOLLOWERS)
     before = text[mark - 1] if mark > start else ""
     if before.isalpha() and lone:
+        if before.islower() and _SHORT.match(text, nxt, end):
+            return False  # the first part of an abbreviation in two
         # a letter by itself is an initial, unless it names a vitamin, group or part
         if before.isupper() or not before.islower():
             lead = text[max(start, mark - 24) : mark - 1].rstrip()
