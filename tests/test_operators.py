@@ -1,8 +1,13 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from textloom import registry
 from textloom.operators import chaos, entities, extraction, graph, judgements, qa, ranking, topics
 
+registry.load()
+QUERIES = registry.QUERIES
+
 
 def test_ties_go_to_the_reliable_judge(spark):
     rows = [(u, f"q{i}", "d", i % 4) for u in ("good", "g2", "g3", "g4", "g5") for i in range(8)] + [("bad", f"q{i}", "d", 3 - i % 4) for i in range(8)]
@@ -36,6 +41,23 @@ def test_communities_split_at_the_bridge(spark):
     assert {r.node: r.component for r in graph.component_labels(df).collect()} == dict.fromkeys("abcxyz", "a") | dict.fromkeys("pq", "p")
 
 
+def test_communities_of_large_components_are_exact(spark):
+    """A ring of six triangles has no bridge: two cuts part it, where label propagation finds every triangle."""
+    ring = [(f"{k}{a}", f"{k}{b}") for k in range(6) for a, b in ("ab", "bc", "ac")] + [(f"{k}c", f"{(k + 1) % 6}a") for k in range(6)]
+    df = spark.createDataFrame([(min(e), max(e)) for e in ring], "src string, dst string")
+    one = sorted(r.nodes for r in graph.community_lists(graph.communities(df, splits=1)).collect())
+    many = sorted(r.nodes for r in graph.community_lists(graph.communities(df, splits=1, most_edges=3)).collect())
+    assert one == many and sorted(map(len, many)) == [9, 9]
+    u, v = (np.array(c) for c in zip((0, 1), (1, 2), (2, 3), (0, 3), (3, 4), strict=True))
+    assert np.allclose(graph.edge_flows(5, u, v, np.arange(5)), graph.edge_flows(5, u, v, np.arange(5), dense=0))
+
+
+def test_all_nodes_of_the_triples_have_a_community(spark, sf):
+    nodes = {r.node for r in QUERIES["st2_nodes"](spark, sf).collect()} & {r.node for r in QUERIES["ag23_gr6_degrees"](spark, sf).collect()}
+    found = QUERIES["jn19_nodes_with_community"](spark, sf).collect()
+    assert {r.node for r in found} == nodes and None not in {r.community for r in found} and len({r.community for r in found}) == 3
+
+
 def test_word_pieces(spark):
     rows = [(0, "##x", 0.9, 0, 1), (1, "Lee", 0.8, 1, 4), (2, "##o", 0.5, 4, 5), (3, "Ha", 0.7, 6, 8), (4, "##gem", 0.9, 8, 11)]
     df = spark.createDataFrame([(1, "PER", s, i, w, a, b) for i, w, s, a, b in rows], "doc_id int, entity string, score double, index int, word string, start int, end int")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.plans.scratch import Scratch
@@ -95,28 +96,53 @@ def component_labels(graph: DataFrame, rounds: int = 50) -> DataFrame:
     return labels
 
 
-def _betweenness(adjacent: dict[str, set[str]]) -> dict[tuple[str, str], float]:
-    score: dict[tuple[str, str], float] = defaultdict(float)
-    for source in adjacent:
-        depth, paths, order, queue = {source: 0}, defaultdict(float, {source: 1.0}), [], deque([source])
-        before = defaultdict(list)
-        while queue:
-            at = queue.popleft()
-            order.append(at)
-            for to in adjacent[at]:
-                if to not in depth:
-                    depth[to] = depth[at] + 1
-                    queue.append(to)
-                if depth[to] == depth[at] + 1:
-                    paths[to] += paths[at]
-                    before[to].append(at)
-        share = defaultdict(float)
-        for at in reversed(order):
-            for up in before[at]:
-                flow = paths[up] / paths[at] * (1 + share[at])
-                score[min(up, at), max(up, at)] += flow
-                share[up] += flow
-    return score
+def edge_flows(n: int, u: np.ndarray, v: np.ndarray, sources: np.ndarray, dense: int = 5_000) -> np.ndarray:
+    """The shares of all shortest paths from the sources that run over each edge ``u[i], v[i]`` of the nodes 0 to n - 1.
+
+    Sources are taken in blocks, level by level. Up to ``dense`` nodes a level is a product with the adjacency matrix,
+    beyond that a sum over the sorted edges; both are exact.
+    """
+    total = np.zeros(len(u))
+    if n <= dense:
+        matrix, flow, width = np.zeros((n, n)), np.zeros((n, n)), 512
+        matrix[u, v] = matrix[v, u] = 1.0
+    else:
+        heads, tails = np.concatenate([u, v]), np.concatenate([v, u])
+        order = np.argsort(tails, kind="stable")
+        heads, tails = heads[order], tails[order]
+        starts = np.flatnonzero(np.concatenate([[True], tails[1:] != tails[:-1]]))
+        width = max(1, 4_000_000 // len(heads))
+
+    def step(x: np.ndarray) -> np.ndarray:
+        if n <= dense:
+            return x @ matrix
+        out = np.zeros(x.shape)
+        out[:, tails[starts]] = np.add.reduceat(x[:, heads], starts, axis=1)
+        return out
+
+    for lower in range(0, len(sources), width):
+        block = sources[lower : lower + width]
+        paths = np.zeros((len(block), n))
+        paths[np.arange(len(block)), block] = 1.0
+        seen, levels = paths > 0, [paths]
+        while not seen.all():
+            paths = step(paths)
+            paths[seen] = 0.0
+            if not paths.any():
+                break
+            seen |= paths > 0
+            levels.append(paths)
+        share = np.zeros((len(block), n))
+        for k in range(len(levels) - 1, 0, -1):
+            before, at = levels[k - 1], levels[k] > 0
+            each = np.divide(1 + share, levels[k], out=np.zeros(share.shape), where=at)
+            if n <= dense:
+                flow += before.T @ each
+            else:
+                total += np.einsum("be,be->e", before[:, u], each[:, v]) + np.einsum("be,be->e", before[:, v], each[:, u])
+            if k > 1:
+                share = before * step(each)
+    return flow[u, v] + flow[v, u] if n <= dense else total
 
 
 def _parts(adjacent: dict[str, set[str]]) -> list[set[str]]:
@@ -135,29 +161,57 @@ def _parts(adjacent: dict[str, set[str]]) -> list[set[str]]:
     return out
 
 
-def split_component(edges: list[tuple[str, str]], splits: int) -> list[set[str]]:
-    """Parts after so many splits: the edge of most shortest paths goes first, ties to the least edge."""
+def split_component(edges: list[tuple[str, str]], splits: int, flows: Callable = edge_flows) -> list[set[str]]:
+    """Parts after so many splits: the edge of most shortest paths goes first, ties to the least edge.
+
+    ``flows`` counts the paths as ``edge_flows`` does, in the same process or in many tasks.
+    """
     adjacent: dict[str, set[str]] = defaultdict(set)
     for a, b in edges:
         adjacent[a].add(b)
         adjacent[b].add(a)
+    names = sorted(adjacent)
+    number = {name: i for i, name in enumerate(names)}
+    # in the order of the edges, so the first of equals is the least
+    ends = np.array(sorted({(number[min(e)], number[max(e)]) for e in edges}), dtype=np.int64).reshape(-1, 2)
     parts = _parts(adjacent)
     target = len(parts) + splits
-    while len(parts) < target and any(adjacent.values()):
-        score = _betweenness(adjacent)
-        top = max(round(s, 9) for s in score.values())
-        a, b = min(e for e, s in score.items() if round(s, 9) == top)
+    while len(parts) < target and len(ends):
+        score = flows(len(names), ends[:, 0], ends[:, 1], np.arange(len(names)))
+        first = int(np.argmax(score >= score.max() * (1 - 1e-9)))
+        a, b = (names[i] for i in ends[first])
         adjacent[a].discard(b)
         adjacent[b].discard(a)
+        ends = np.delete(ends, first, axis=0)
         parts = _parts(adjacent)
     return parts
 
 
-def communities(graph: DataFrame, splits: int = 2, most_edges: int = 10_000, rounds: int = 8) -> DataFrame:
+def _flows_in_tasks(spark: SparkSession) -> Callable:
+    """``edge_flows`` with the sources dealt to tasks; the edges, as numbers, go to all of them."""
+
+    def flows(n: int, u: np.ndarray, v: np.ndarray, sources: np.ndarray) -> np.ndarray:
+        held = spark.sparkContext.broadcast((n, u, v))
+
+        def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own = [f["id"].to_numpy() for f in frames]
+            if sum(map(len, own)):
+                yield pd.DataFrame({"flow": [edge_flows(*held.value, np.concatenate(own)).tobytes()]})
+
+        tasks = min(len(sources), spark.sparkContext.defaultParallelism)
+        parts = spark.range(0, len(sources), 1, tasks).mapInPandas(counted, "flow binary").collect()
+        total = sum((np.frombuffer(p["flow"]) for p in parts), np.zeros(len(u)))
+        held.destroy()
+        return total
+
+    return flows
+
+
+def communities(graph: DataFrame, splits: int = 2, most_edges: int = 10_000) -> DataFrame:
     """``node, community`` (1-based, in the order of the communities' least nodes).
 
-    Components of at most ``most_edges`` edges are split by edge betweenness, each in one task;
-    larger ones, for which that is too slow, by ``rounds`` of label propagation.
+    All components are split by edge betweenness: those of at most ``most_edges`` edges each in one
+    task, larger ones one after the other, with the paths of each round counted in many tasks.
     """
     graph = graph.select("src", "dst").filter("src <> dst").distinct()
     labels = component_labels(graph)
@@ -170,27 +224,16 @@ def communities(graph: DataFrame, splits: int = 2, most_edges: int = 10_000, rou
         return pd.DataFrame([(n, min(p)) for p in parts for n in p], columns=["node", "least"])
 
     small = placed.filter(F.col("n_edges") <= most_edges).groupBy("component").applyInPandas(split, "node string, least string")
-    large = propagated(placed.filter(F.col("n_edges") > most_edges).select("src", "dst"), rounds)
-    found = small.unionByName(large)
+    spark, large = graph.sparkSession, []
+    for row in size.filter(F.col("n_edges") > most_edges).select("component").sort("component").collect():
+        edges = placed.filter(F.col("component") == row["component"]).select("src", "dst").toPandas()
+        parts = split_component(list(zip(edges.src, edges.dst, strict=True)), splits, _flows_in_tasks(spark))
+        large += [(n, min(p)) for p in parts for n in p]
+    found = small.unionByName(spark.createDataFrame(pd.DataFrame(large, columns=["node", "least"]), "node string, least string")) if large else small
     number = found.select("least").distinct().withColumn("community", F.row_number().over(Window.orderBy("least")))
     return found.join(number, "least").select("node", "community")
 
 
-def propagated(graph: DataFrame, rounds: int) -> DataFrame:
-    """``node, least``: communities by label propagation; the most frequent label around wins, ties to the least."""
-    scratch = Scratch(graph.sparkSession, "labels")
-    both = graph.unionByName(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    both = scratch.write(both.distinct(), "edges")
-    labels = scratch.write(both.select(F.col("src").alias("node"), F.col("src").alias("label")).distinct(), "labels-0")
-    if both.isEmpty():
-        rounds = 0
-    for k in range(1, rounds + 1):
-        votes = both.join(labels.select(F.col("node").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.count("*").alias("n"))
-        best = votes.groupBy("src").agg(F.min(F.struct((-F.col("n")).alias("less"), "label")).alias("b"))
-        labels = scratch.write(best.select(F.col("src").alias("node"), F.col("b.label").alias("label")), f"labels-{k}")
-    return labels.join(labels.groupBy("label").agg(F.min("node").alias("least")), "label").select("node", "least")
-
-
 def community_lists(found: DataFrame) -> DataFrame:
     """One row a community with its sorted nodes."""
     return found.groupBy("community").agg(F.array_sort(F.collect_set("node")).alias("nodes"))

@@ -77,25 +77,20 @@ def ag23_gr6_degrees(spark: SparkSession, d: str) -> DataFrame:
     return G.degrees(_simple(spark, d))
 
 
-def _sparse(spark: SparkSession, d: str) -> DataFrame:
-    near = G.contextual_proximity(clean(spark, d)).filter("count >= 6 and node_1 < node_2")
-    return near.select(F.col("node_1").alias("src"), F.col("node_2").alias("dst"))
-
-
 @query()
 def gr4_gr5_communities(spark: SparkSession, d: str) -> DataFrame:
-    """Communities among the pairs that share chunks at least six times."""
-    return G.communities(_sparse(spark, d))
+    """Communities of the simple graph of all triples."""
+    return G.communities(_simple(spark, d))
 
 
 @query()
 def tk9_community_lists(spark: SparkSession, d: str) -> DataFrame:
-    return G.community_lists(G.communities(_sparse(spark, d)))
+    return G.community_lists(G.communities(_simple(spark, d)))
 
 
 @query()
 def jn19_nodes_with_community(spark: SparkSession, d: str) -> DataFrame:
-    return G.degrees(_sparse(spark, d)).join(G.communities(_sparse(spark, d)), "node", "left")
+    return G.degrees(_simple(spark, d)).join(G.communities(_simple(spark, d)), "node", "left")
 
 
 def _authors(spark: SparkSession, d: str) -> DataFrame:
