@@ -79,6 +79,18 @@ def test_batches(spark):
     assert deduplicate_batches(df.limit(0), "id", "fetch_batch", "pubmed_id", "doi", "title", 1).count() == 0
 
 
+def test_every_batch_is_decided_by_itself(spark, monkeypatch):
+    """B is accepted before C, which joins it to A, is known; the runs are compacted on the way."""
+    compacted = []
+    compact = History._compact
+    monkeypatch.setattr(History, "_compact", lambda self: compacted.append(self.step) or compact(self))
+    rows = [(1, 1, "123456", None, None), (2, 1, None, None, LONG), (3, 2, None, "10.99120/x.1", None), (4, 3, "123456", "10.99120/x.1", None), (5, 4, None, None, LONG), (6, 4, "777777", None, None)]
+    df = spark.createDataFrame([(*r, 0) for r in rows], ARTICLE)
+    got = {r.id: r.held_id for r in deduplicate_batches(df, "id", "fetch_batch", "pubmed_id", "doi", "title").collect()}
+    assert got == {1: None, 2: None, 3: None, 4: 1, 5: 2, 6: None}
+    assert compacted == [4]
+
+
 def test_runs_are_compacted_and_ranged(spark, monkeypatch):
     from textloom.llm import history
 
