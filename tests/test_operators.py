@@ -100,6 +100,13 @@ def test_energy_is_kept(spark):
     assert chaos.trails(states).agg(F.max("segment")).first()[0] == 19
 
 
+def test_pendulums_run_thirty_seconds(spark, sf):
+    states = QUERIES["ml25_sf27_pendulums"](spark, sf)
+    assert {(r.steps, r.last) for r in states.groupBy("traj_id").agg(F.count("*").alias("steps"), F.max("step").alias("last")).collect()} == {(3001, 3000)}
+    trails = QUERIES["wn8_trails"](spark, sf).agg(F.countDistinct("traj_id"), F.max("step")).first()
+    assert tuple(trails) == (states.select("traj_id").distinct().count(), 3000)
+
+
 def test_unknown_topic_raises(spark):
     docs = spark.createDataFrame([(1, [0, 9])], "doc int, ids array<int>")
     labels = spark.createDataFrame([(0, "zero")], "Topic int, Name string")

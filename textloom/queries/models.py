@@ -85,7 +85,7 @@ def _pendulums(spark: SparkSession, d: str) -> DataFrame:
     starts = table(spark, d, "nation", "n_nationkey").select(
         F.col("n_nationkey").cast("long").alias("traj_id"), (F.lit(1.3) + F.col("n_nationkey") * 0.01).alias("theta1"), F.lit(0.0).alias("z1"), F.lit(2.3).alias("theta2"), F.lit(0.0).alias("z2")
     )
-    return chaos.trajectories(starts, seconds=2.0)
+    return chaos.trajectories(starts, seconds=30.0)
 
 
 @query()
@@ -100,7 +100,7 @@ def ag24_energy_drift(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def wn8_trails(spark: SparkSession, d: str) -> DataFrame:
-    return chaos.trails(_pendulums(spark, d).filter("traj_id < 3"))
+    return chaos.trails(_pendulums(spark, d))
 
 
 @query("SELECT event_id FROM events WHERE event_id % 10 = 0")
