@@ -107,6 +107,13 @@ def test_pendulums_run_thirty_seconds(spark, sf):
     assert tuple(trails) == (states.select("traj_id").distinct().count(), 3000)
 
 
+def test_latent_topics_of_all_words(spark):
+    """The strongest words are rarer than 1,001 others."""
+    rows = [([f"w{k}"],) for k in range(1001) for _ in range(6)] + [(["whole"] * 5,), (["half"] * 4,)]
+    found = topics.lsa_topics(spark.createDataFrame(rows, "tokens array<string>"), "tokens", words=1)
+    assert [(r.topic, r.word, round(r.weight, 6)) for r in found.orderBy("topic").collect()] == [(0, "whole", 1.0), (1, "half", 1.0)]
+
+
 def test_unknown_topic_raises(spark):
     docs = spark.createDataFrame([(1, [0, 9])], "doc int, ids array<int>")
     labels = spark.createDataFrame([(0, "zero")], "Topic int, Name string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,14 +145,16 @@ def lda_topics(texts: DataFrame, tokens: str, k: int = 2, words: int = 5, seed:
     return rows.join(names, "i").select("topic", "place", "word", "weight")
 
 
-def lsa_topics(texts: DataFrame, tokens: str, k: int = 2, words: int = 5, most: int = 1000) -> DataFrame:
-    """``topic, place, word, weight`` of the k strongest right singular vectors of the count matrix."""
+def lsa_topics(texts: DataFrame, tokens: str, k: int = 2, words: int = 5) -> DataFrame:
+    """``topic, place, word, weight`` of the k strongest right singular vectors of the count matrix over all words."""
     from pyspark.mllib.linalg import Vectors
     from pyspark.mllib.linalg.distributed import RowMatrix
 
-    counts, bags = bag_of_words(texts, tokens, most=most)
-    rows = bags.select("features").rdd.map(lambda r: Vectors.fromML(r[0]))
+    counts, bags = bag_of_words(texts, tokens, most=2**31 - 1)
+    # every iteration reads the rows
+    rows = bags.select("features").rdd.map(lambda r: Vectors.fromML(r[0])).persist(StorageLevel.MEMORY_AND_DISK)
     v = np.asarray(RowMatrix(rows).computeSVD(k).V.toArray())
+    rows.unpersist()
     v = v * np.sign(v[np.abs(v).argmax(axis=0), range(v.shape[1])])
     out = [(t, p, counts.vocabulary[i], float(v[i, t])) for t in range(v.shape[1]) for p, i in enumerate(np.argsort(-v[:, t], kind="stable")[:words])]
     return texts.sparkSession.createDataFrame(out, "topic int, place int, word string, weight double")
