@@ -28,9 +28,10 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables of one run of an operator, in a folder of its own."""
 
-    def __init__(self, spark: SparkSession, label: str) -> None:
+    def __init__(self, spark: SparkSession, label: str, root: str | None = None) -> None:
+        """A new folder below the shared one, or the folder ``root``, which may hold tables of an earlier session."""
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        self.root = root.rstrip("/") if root else f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
     def path(self, key: str) -> str:
         return f"{self.root}/{key}"
@@ -46,8 +47,35 @@ class Scratch:
     def read(self, key: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(self.path(key))
 
+    def _file(self, key: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(key))
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
     def drop(self, key: str) -> None:
         """Remove a table that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(key))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        system, path = self._file(key)
+        system.delete(path, True)
+
+    def save(self, key: str, text: str) -> None:
+        """A small text file, written beside its place and then moved there, so a reader sees the old one or the new."""
+        system, path = self._file(key)
+        _, beside = self._file(f"{key}.new")
+        out = system.create(beside, True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+        system.delete(path, False)
+        system.rename(beside, path)
+
+    def load(self, key: str) -> str | None:
+        """What ``save`` wrote; null if there is none."""
+        for name in (key, f"{key}.new"):  # the second one, where a writer stopped before its move
+            system, path = self._file(name)
+            if system.exists(path):
+                stream = system.open(path)
+                try:
+                    return bytes(stream.readAllBytes()).decode()
+                finally:
+                    stream.close()
+        return None
