@@ -2,7 +2,8 @@ import random
 
 from textloom.llm.components import connected_components
 from textloom.llm.consensus import consensus
-from textloom.llm.history import History, deduplicate_batches, _described, doi_key, pubmed_key, title_key
+from textloom.llm import history as histories
+from textloom.llm.history import History, _described, _two_edits, deduplicate_batches, doi_key, pubmed_key, title_key
 from textloom.llm.names import alignment, link_names, linked_pairs, parse
 from textloom.plans.scratch import Scratch
 
@@ -73,37 +74,82 @@ def test_batches(spark):
     ]
     df = spark.createDataFrame([(*r, 0) for r in rows], ARTICLE)
     expected = {2: 1, 3: 1, 6: 1, 9: None, 10: 1, 12: 1, 13: 1, 14: 5}
-    for steps in (1, 3):
-        got = {r.id: r.held_id for r in deduplicate_batches(df, "id", "fetch_batch", "pubmed_id", "doi", "title", steps).collect()}
+    for together in (1, 16):
+        got = {r.id: r.held_id for r in deduplicate_batches(df, "id", "fetch_batch", "pubmed_id", "doi", "title", together).collect()}
         assert got == {i: expected.get(i) for i in range(1, 16)}
-    assert deduplicate_batches(df.limit(0), "id", "fetch_batch", "pubmed_id", "doi", "title", 1).count() == 0
+    assert deduplicate_batches(df.limit(0), "id", "fetch_batch", "pubmed_id", "doi", "title").count() == 0
 
 
-def test_every_batch_is_decided_by_itself(spark, monkeypatch):
-    """B is accepted before C, which joins it to A, is known; the runs are compacted on the way."""
-    compacted = []
-    compact = History._compact
-    monkeypatch.setattr(History, "_compact", lambda self: compacted.append(self.step) or compact(self))
-    rows = [(1, 1, "123456", None, None), (2, 1, None, None, LONG), (3, 2, None, "10.99120/x.1", None), (4, 3, "123456", "10.99120/x.1", None), (5, 4, None, None, LONG), (6, 4, "777777", None, None)]
+def test_two_edits():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    rng = random.Random(9)
+    for _ in range(3000):
+        a = "".join(rng.choice("abc") for _ in range(rng.randrange(9)))
+        b = "".join(rng.choice("abc") for _ in range(rng.randrange(9))) if rng.random() < 0.3 else a[: rng.randrange(9)] + rng.choice(["", "a", "bc"]) + a[rng.randrange(9) :]
+        assert _two_edits(a, b) == (distance(a, b) <= 2)
+
+
+def test_every_batch_is_decided_by_itself(spark):
+    """B is accepted before C, which joins it to A, is known; a later row that meets only B gets A, the lowest id of all three."""
+    rows = [(1, 1, "123456", None, None), (2, 1, None, None, LONG), (3, 2, None, "10.99120/x.1", LONG + " again"), (4, 3, "123456", "10.99120/x.1", None), (5, 4, None, None, LONG), (6, 4, "777777", None, None), (7, 5, None, None, LONG + " again")]
     df = spark.createDataFrame([(*r, 0) for r in rows], ARTICLE)
-    got = {r.id: r.held_id for r in deduplicate_batches(df, "id", "fetch_batch", "pubmed_id", "doi", "title").collect()}
-    assert got == {1: None, 2: None, 3: None, 4: 1, 5: 2, 6: None}
-    assert compacted == [4]
+    for together in (1, 2, 9):
+        got = {r.id: r.held_id for r in deduplicate_batches(df, "id", "fetch_batch", "pubmed_id", "doi", "title", together).collect()}
+        assert got == {1: None, 2: None, 3: None, 4: 1, 5: 2, 6: None, 7: 1}
 
 
-def test_runs_are_compacted_and_ranged(spark, monkeypatch):
-    from textloom.llm import history
+def test_a_history_is_opened_again(spark, tmp_path):
+    def told(rows):
+        return _described(spark.createDataFrame([(*r, 0) for r in rows], ARTICLE), "id", "fetch_batch", "pubmed_id", "doi", "title")
 
-    monkeypatch.setattr(history, "RANGE_KEYS", 20)
-    monkeypatch.setattr(history, "RUNS", 1)
+    path = f"file://{tmp_path}/held"
+    History(spark, path).ingest(told([(1, 1, "123456", None, LONG), (2, 1, None, "10.99120/b.1", "Another " + LONG)]))
+    got = History(spark, path).ingest(told([(3, 2, None, None, LONG.upper()), (4, 2, None, "10.99120/b.1", None)])).collect()
+    assert {r.id: r.held_id for r in got} == {3: 1, 4: 2}
+    again = History(spark, path)
+    assert again.state["commit"] == 2 and len(again.state["runs"]) == 2
+    got = deduplicate_batches(spark.createDataFrame([(5, 3, None, None, LONG, 0)], ARTICLE), "id", "fetch_batch", "pubmed_id", "doi", "title", path=path).collect()
+    assert [(r.id, r.batch, r.held_id) for r in got] == [(5, 3, 1)]
+
+
+def test_runs_are_compacted_and_ranged(spark, monkeypatch):
+    monkeypatch.setattr(histories, "RANGE_KEYS", 20)
     rng = random.Random(8)
     titles = [" ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(5)) for _ in range(60)]
     store = History(spark)
-    for b in range(3):
+    for b in range(5):
         part = spark.createDataFrame([(100 * b + k, b, None, None, t if b != 1 else t + ".", 0) for k, t in enumerate(titles)], ARTICLE)
         got = store.ingest(_described(part, "id", "fetch_batch", "pubmed_id", "doi", "title")).collect()
         assert {r.id: r.held_id for r in got} == {100 * b + k: None if b == 0 else k for k in range(60)}
-    assert store.bounds and len(store.runs) <= 2
+    assert store.state["bounds"]["title"] and store.state["compacted"] and len(store.state["runs"]) <= 4
+
+
+def test_commits_and_ranges_change_no_decision(spark, monkeypatch):
+    rng = random.Random(10)
+    stems = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(6)) for _ in range(25)]
+    rows = []
+    for i in range(240):
+        k = rng.randrange(25)
+        title = stems[k] if rng.random() < 0.7 else stems[k][:20] + rng.choice("xyz") + stems[k][21:]
+        own = rng.random() < 0.8
+        rows.append((i, i // 20, str(30_000 + k) if own and rng.random() < 0.6 else None, f"10.99120/k.{k}" if own and rng.random() < 0.6 else None, title if rng.random() < 0.8 else None, 0))
+    # one number that a third of the rows hold, and fill ranges with
+    rows += [(1000 + i, i // 10, "99", None, f"{stems[0]} and number {i}", 0) for i in range(120)]
+    df = spark.createDataFrame(rows, ARTICLE)
+    one = None
+    for keys, together in ((10_000, 99), (40, 5), (40, 99)):
+        monkeypatch.setattr(histories, "RANGE_KEYS", keys)
+        got = {r.id: r.held_id for r in deduplicate_batches(df, "id", "fetch_batch", "pubmed_id", "doi", "title", together).collect()}
+        one = one or got
+        assert got == one
+    assert all(got[1000 + i] == 1000 for i in range(1, 120))
 
 
 def test_parsed_names():
