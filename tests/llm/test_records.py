@@ -1,14 +1,18 @@
 import random
 
+import numpy as np
+
 from textloom.llm.components import connected_components
 from textloom.llm.consensus import consensus
+from textloom.llm import components
 from textloom.llm import history as histories
 from textloom.llm.history import History, _described, _two_edits, deduplicate_batches, doi_key, pubmed_key, title_key
-from textloom.llm.names import alignment, link_names, linked_pairs, parse
+from textloom.llm import names as linking
+from textloom.llm.names import alignment, assigned, link_names, linked_pairs, parse
 from textloom.plans.scratch import Scratch
 
 
-def test_components_equal_union_find(spark):
+def test_components_equal_union_find(spark, monkeypatch):
     rng = random.Random(6)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 340)] + [(5, 5), (None, 1)]
     parent = {}
@@ -23,8 +27,10 @@ def test_components_equal_union_find(spark):
             x, y = find(a), find(b)
             parent[max(x, y)] = min(x, y)
     df = spark.createDataFrame(edges, "u long, v long")
-    got = {r.node: r.component for r in connected_components(df, Scratch(spark, "t"), "cc").collect()}
-    assert got == {a: find(a) for a in parent}
+    for few in (components.FEW, 0):
+        monkeypatch.setattr(components, "FEW", few)
+        got = {r.node: r.component for r in connected_components(df, Scratch(spark, "t"), "cc").collect()}
+        assert got == {a: find(a) for a in parent}
     assert connected_components(df.limit(0), Scratch(spark, "t"), "cc").count() == 0
 
 
@@ -74,7 +80,7 @@ def test_batches(spark):
     ]
     df = spark.createDataFrame([(*r, 0) for r in rows], ARTICLE)
     expected = {2: 1, 3: 1, 6: 1, 9: None, 10: 1, 12: 1, 13: 1, 14: 5}
-    for together in (1, 16):
+    for together in (1, 32):
         got = {r.id: r.held_id for r in deduplicate_batches(df, "id", "fetch_batch", "pubmed_id", "doi", "title", together).collect()}
         assert got == {i: expected.get(i) for i in range(1, 16)}
     assert deduplicate_batches(df.limit(0), "id", "fetch_batch", "pubmed_id", "doi", "title").count() == 0
@@ -153,13 +159,69 @@ def test_commits_and_ranges_change_no_decision(spark, monkeypatch):
 
 
 def test_parsed_names():
-    assert parse("van der Bell, Anna-Lena") == (False, True, ["bell", "annalena"], "")
-    assert parse("A.-L. van dder Bell")[2:] == (["bell"], "al")
+    assert parse("van der Bell, Anna-Lena") == (False, 0, ["vander~bell", "anna-lena"], "")
+    assert parse("A.-L. van dder Bell")[2:] == (["vandder~bell"], "al")
     assert parse('Bell William "Bill"')[2:] == (["bell", "william"], "")
-    assert parse("The WG on Bell Allergy") == (True, False, ["working", "group", "bell", "allergy"], "")
+    assert parse("The WG on Bell Allergy") == (True, -1, ["working", "group", "bell", "allergy"], "")
+    for same in ("van derBell Anna", "van de rBell Anna", "VAN DER BELL Anna", "v.d. Bell Anna", "vd Bell, Anna", "Bell, Anna van der"):
+        got = parse(same)
+        assert got[1] == 0 and [t.replace("~", "") for t in got[2]] == ["vanderbell", "anna"]
+    assert parse("Ludwig van Beethoven") == (False, 1, ["ludwig", "van~beethoven"], "")
     assert alignment(["a1b2c", "x"], ["xyz", "a1b2c"]) < 1 < 9 <= alignment(["abcde"], ["vwxyz"])
 
 
+def test_assignment_is_optimal():
+    from itertools import permutations
+
+    rng = np.random.default_rng(3)
+    for n, m in [(1, 1), (2, 4), (4, 4), (5, 6), (6, 6)] * 4:
+        costs = rng.integers(0, 9, (n, m)).astype(float)
+        got = assigned(costs)
+        assert len(set(got)) == n
+        assert sum(costs[i, j] for i, j in enumerate(got)) == min(sum(costs[i, j] for i, j in enumerate(p)) for p in permutations(range(m), n))
+    long = [f"word{i}" for i in range(20)]
+    assert alignment(long, long[::-1]) == 0 and alignment(["wrod3", *long[:3], *long[4:]], long) == 1
+
+
+SAME = [
+    ("Lopez, Maria Anna", "Lopez, Anna Maria"), ("Chen, Weiming", "Chne, Weiming"), ("Wang, Jianhua", "Wnag, Jianhua"), ("Wells, Catherine", "Wells, Katherine"),
+    ("Meyerhof, Bert", "Meyerhof, Albert"), ("tre Borgmann, Anna", "ter Borgmann, Anna"), ("Smithson, John Robert", "Smithson, John R."), ("Dahlen, Karl-Otto", "Dahlen, Karl O."),
+    ("Hillman, Bob James", "Hillman, Robert James"), ("Lundberg, Marialuz", "Lundberg, Maria-Luz"), ("Ek Forest Sleep Registry Study Group of the Western Coast and Northern Hills of Old Land", "Ek Forest Sleep Registry Study Group of the Western Caost and Northern Hills of Old Land"),
+]
+OTHER = [("Zorn, Anna", "Zorn, Susanna"), ("Falk, Anna", "Falk, Anna-Lena"), ("Cheng, Wei", "Chen, Wei"), ("Moorland, Kim", "Moorland, Tim"), ("Bramwell, Sanna", "Bramwell, Anna"), ("Corbusch, John R.", "Corbusch, John Q.")]
+
+
+def test_spellings_of_every_kind(spark):
+    df = spark.createDataFrame([(n,) for pair in SAME + OTHER for n in pair], "val string")
+    got = {r.val: r.class_id for r in link_names(df, "val").collect()}
+    assert [p for p in SAME if got[p[0]] != got[p[1]]] == [] and [p for p in OTHER if got[p[0]] == got[p[1]]] == []
+
+
+def test_an_initial_joins_only_what_it_fits(spark):
+    names = ["Arkwright, John R.", "Arkwright, John Robert", "Bexhill, John R.", "Bexhill, John Robert", "Bexhill, John Rupert", "Colmore, J.", "Colmore, James", "Colmore, John", "Dunmore, J.", "Dunmore, John"]
+    got = {r.val: r.class_id for r in link_names(spark.createDataFrame([(n,) for n in names], "val string"), "val").collect()}
+    assert len({got[n] for n in names}) == 8 and got[names[0]] == got[names[1]] and got[names[8]] == got[names[9]]
+
+
+def test_hot_surname_is_salted_and_generated_typos_are_found(spark, monkeypatch):
+    monkeypatch.setattr(linking, "HOT", 5)
+    rng = random.Random(12)
+    stems = sorted({"".join(rng.choice("brtkslmn") + rng.choice("aeiou") for _ in range(4)) for _ in range(330)})[:300]
+    rng.shuffle(stems)
+    rows, wanted = [], []
+    for i, given in enumerate(stems):
+        surname = "Wangford" if i % 3 == 0 else stems[(i * 7 + 3) % 300].title() + "berg"
+        name = f"{surname}, {given.title()}"
+        k = rng.randrange(1, len(given) - 1)
+        typo = rng.choice([given[:k] + given[k + 1 :], given[1] + given[0] + given[2:], given[:k] + given[k + 1] + given[k] + given[k + 2 :], given[:k] + rng.choice("xyz") + given[k:]])
+        other = rng.choice([f"{given.title()} {surname}", f"{surname}, {typo.title()}", f"{surname.upper()} {typo.title()}"])
+        rows += [(name,)] * 3 + [(other,)]
+        wanted.append((name, other))
+    got = {r.val: r.class_id for r in link_names(spark.createDataFrame(rows, "val string"), "val").collect()}
+    assert sum(got[a] == got[b] for a, b in wanted) >= 0.95 * len(wanted)
+    assert len({got[a] for a, _ in wanted}) >= 0.98 * len(wanted)
+
+
 def test_linked_names(spark):
     classes = [
         ["Stefavedez Michael", "Stefvaedez Michael", "STEFAVEDEZ Michael", "Stefavedez, Michael", "M. Stefavedez", "Michael Q. Stefavedez", "Mick Stefavedez", "Stefavedez Michael, MD"],

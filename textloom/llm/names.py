@@ -1,9 +1,10 @@
 """Spellings of persons and groups that mean the same one.
 
 Names are folded to tokens. A symmetric-delete index over the distinct tokens finds those within one
-edit; the rarest token of a name (a surname, or what sets a group apart) is its anchor, and names
-meet where their anchors are near and their given names may begin alike. What meets is compared by
-the optimal assignment of tokens, where initials, abbreviations and nicknames may stand for a name.
+edit. The rarest token of a name (a surname, or what sets a group apart) is its anchor; names meet
+where their anchors are near and another token is near, too, or may be what an initial stands for.
+What meets is compared by the optimal assignment of all its tokens, in any order, where initials,
+abbreviations and nicknames may stand for a name.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,21 +21,31 @@ from pyspark.sql import functions as F
 from textloom.llm.components import connected_components
 from textloom.plans.scratch import Scratch
 
-# Nicknames and the names they stand for.
-NICKNAMES = {
-    "alex": "alexander", "sascha": "alexander", "sandy": "alexander", "betty": "elizabeth", "liz": "elizabeth", "beth": "elizabeth", "lisa": "elizabeth",
-    "bill": "william", "will": "william", "billy": "william", "bob": "robert", "rob": "robert", "bobby": "robert", "dick": "richard", "rick": "richard",
-    "rich": "richard", "hans": "johannes", "hannes": "johannes", "jan": "johannes", "kate": "katherine", "kathy": "katherine", "katie": "katherine",
-    "mick": "michael", "mike": "michael", "mischa": "michael", "micky": "michael", "paco": "francisco", "pancho": "francisco", "beppe": "giuseppe",
-    "pino": "giuseppe", "peggy": "margaret", "maggie": "margaret", "meg": "margaret", "greta": "greta", "sanna": "susanna", "susi": "susanna", "sue": "susanna",
-    "ted": "theodore", "theo": "theodore", "teddy": "theodore", "tina": "christina", "chris": "christina", "steffen": "stefan", "steve": "stefan",
-    "tom": "thomas", "tommy": "thomas", "jim": "james", "jimmy": "james", "jack": "john", "johnny": "john", "joe": "joseph", "pepe": "jose", "tony": "anthony",
-    "toni": "antonia", "nick": "nicholas", "klaus": "nikolaus", "fritz": "friedrich", "heinz": "heinrich", "sepp": "josef", "uli": "ulrich", "ulla": "ulrika",
-    "dan": "daniel", "dave": "david", "ed": "edward", "eddie": "edward", "fred": "frederick", "greg": "gregory", "harry": "henry", "jeff": "jeffrey",
-    "ken": "kenneth", "larry": "lawrence", "matt": "matthew", "pat": "patricia", "pete": "peter", "ron": "ronald", "sam": "samuel", "vicky": "victoria",
-    "sasha": "alexander", "misha": "mikhail", "kolya": "nikolai", "vanya": "ivan", "lupe": "guadalupe", "nacho": "ignacio", "chema": "josemaria",
-}
-GIVEN = frozenset(NICKNAMES) | frozenset(NICKNAMES.values())
+#: A key that more signatures share is hot: its pairs are made by SALTS tasks.
+HOT, SALTS = 500, 16
+
+# Full names, and the short ones that may stand for them.
+_SHORT_FORMS = """
+albert: al bert | alexander: alex sascha sasha sandy | anthony: tony | antonia: toni | catherine: cathy kate | christina: tina chris | christopher: chris
+daniel: dan danny | david: dave | edward: ed eddie ted | elizabeth: betty liz beth lisa lizzy | francisco: paco pancho | frederick: fred freddy
+friedrich: fritz | giuseppe: beppe pino | gregory: greg | guadalupe: lupe | heinrich: heinz | henry: harry | herbert: bert | ignacio: nacho | ivan: vanya
+james: jim jimmy | jeffrey: jeff | johannes: hans hannes jan | john: jack johnny | jose: pepe | josef: sepp | josemaria: chema | joseph: joe
+katherine: kate kathy katie | kenneth: ken | lawrence: larry | margaret: peggy maggie meg | matthew: matt | michael: mick mike mischa micky
+mikhail: misha | nicholas: nick | nikolai: kolya | nikolaus: klaus | patricia: pat | peter: pete | richard: dick rick rich | robert: bob rob bobby bert
+ronald: ron | samuel: sam | stefan: steffen | steven: steve | susanna: sanna susi sue | theodore: ted theo teddy | thomas: tom tommy | ulrich: uli
+ulrika: ulla | victoria: vicky | william: bill will billy
+"""
+NICKNAMES: dict[str, frozenset[str]] = {}
+for _entry in re.split(r"[|\n]", _SHORT_FORMS.strip()):
+    _full, _, _shorts = _entry.partition(":")
+    for _short in _shorts.split():
+        NICKNAMES[_short] = NICKNAMES.get(_short, frozenset()) | {_full.strip()}
+GIVEN = frozenset(NICKNAMES) | frozenset().union(*NICKNAMES.values())
+# Particles of surnames, and how two of them are abbreviated.
+PARTICLES = frozenset("van von vom der den de del della di da dos du la le ter ten te zu zur af av el bin ibn".split())
+_PARTICLE_SHORT = {"vd": "vander", "v": "von"}
+#: Between a particle and its surname, which may also be written without it.
+_BOUND = "~"
 # Words of groups, words that carry nothing, acronyms.
 _GROUP = re.compile(r"(?i)\b(?:group|consor\w*|network|registry|register|study|studies|investigators?|invest\.|grp|netw|cons$|team|collaborat\w+|committee|society|alliance|initiative|trialists|wg|project|programme|program)\b|\bcons\.")
 _EMPTY = frozenset("the and of on for in at a an de des der die das und et la le y el".split())
@@ -43,71 +55,128 @@ _ACRONYMS = {
 }
 
 _DEGREE = re.compile(r",?\s*\b(?:M\.?D|Ph\.?D|D\.?Sc|M\.?Sc|MPH|FRCP|RN|Jr|Sr)\b\.?$")
-_PARTICLE = re.compile(
-    r"(?i)(?:^|(?<=[\s.]))(?:v\s?an\s?d\s?e\s?r|v\s?na\s?d\s?e\s?r|van\s+(?:dre|edr|de|den|er)|vand?er|v\.?\s?d\.?(?=\s)|van(?=\s)|von(?=\s)|de\s+la(?=\s)|de(?=\s)|di(?=\s)|da(?=\s))\s*(?=\S)"
-)
-_SPLIT_R = re.compile(r"(?i)(?:^|(?<=\s))van\s+de\s+r(?=[A-ZÀ-Þ])")
 _QUOTED = re.compile(r"[\"“”„]([^\"“”„]+)[\"“”„]|\(([^()]+)\)")
 
 
 def fold(text: str) -> str:
-    """No case, accents, apostrophes or hyphens. An umlaut written as two letters is one edit away."""
+    """No case, accents or apostrophes; all hyphens alike. An umlaut written as two letters is one edit away."""
     text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).casefold()
-    return re.sub(r"['’ʼ`´\-‐‑]", "", text).replace("ø", "o")
+    return re.sub(r"['’ʼ`´]", "", re.sub(r"[‐‑]", "-", text)).replace("ø", "o").strip("-")
+
+
+def _near(a: str, b: str) -> bool:
+    """Within one insertion, deletion, change or swap of neighbours."""
+    if a == b:
+        return True
+    if abs(len(a) - len(b)) > 1:
+        return False
+    k = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    return a[k + 1 :] == b[k + 1 :] or a[k + 1 :] == b[k:] or a[k:] == b[k + 1 :] or a[k : k + 2] == b[k : k + 2][::-1] and a[k + 2 :] == b[k + 2 :]
+
 
+def near_words(a: str, b: str, least: int = 4) -> bool:
+    """Within one edit; words of fewer than ``least`` letters only by a swap, since many short names are an edit apart."""
+    return _near(a, b) and (min(len(a), len(b)) >= least or len(a) == len(b) >= 3 and sorted(a) == sorted(b))
 
-def parse(name: str) -> tuple[bool, bool, list[str], str]:
-    """(is a group, surname before a comma, full tokens in order, initials)."""
-    text = re.sub(r"\s+", " ", name.replace(" ", " ")).strip()
+
+_TWO = frozenset(a + b for a in ("van", "von", "de", "af", "av", "zu") for b in ("der", "den", "de", "la", "ter"))
+
+
+def _particle(token: str, pieces: list[str]) -> tuple[str, bool]:
+    """The particle's part of a token as typed, and whether a surname must follow; '' where it has none.
+
+    Particles are known by their small letters, so one with a typing error, or with a blank that
+    was lost or went astray, is still glued to its surname.
+    """
+    small = re.match(r"[a-zà-öø-ÿ.'’]*", token).group()
+    letters = fold(re.sub(r"[.]", "", small))
+    if not letters:
+        return (fold(token), True) if len(token) > 2 and fold(token) in PARTICLES and pieces != [token] else ("", False)
+    if len(letters) > 4 and not any(_near(letters, two) for two in _TWO):
+        return "", False
+    return letters, len(token) - len(small) < 2
+
+
+def _glued(text: str) -> tuple[list[tuple[str, bool]], bool]:
+    """(token as typed, is a surname with its particles) of a person's name; whether a surname stands before a comma."""
+    head, comma, tail = text.partition(",")
+    out: list[tuple[str, bool]] = []
+    for part in (head, tail):
+        run, pieces = "", part.split()
+        for k, token in enumerate(pieces):
+            particle, open_ = _particle(token, pieces)
+            if particle and (open_ or run or len(particle) > 2):
+                after = re.sub(r"^[a-zà-öø-ÿ.'’]*", "", token) if not particle or particle != fold(token) else ""
+                run += particle
+                if not open_:
+                    out.append((_PARTICLE_SHORT.get(run, run) + _BOUND + after, True))
+                    run = ""
+                elif after:  # its first letter came before the blank
+                    pieces[k + 1 : k + 2] = [after + x for x in pieces[k + 1 : k + 2]]
+            elif run:
+                out.append((_PARTICLE_SHORT.get(run, run) + _BOUND + token, True))
+                run = ""
+            else:
+                out.append((token, False))
+        if run and out:  # a particle behind the given name belongs to the surname before the comma
+            out[0] = (_PARTICLE_SHORT.get(run, run) + _BOUND + out[0][0], True)
+        elif run:
+            out.append((run, False))
+    return out, bool(comma and head.strip() and tail.strip())
+
+
+def parse(name: str) -> tuple[bool, int, list[str], str]:
+    """(is a group, place of the surname or -1, full tokens in order, initials)."""
+    text = re.sub(r"\s+", " ", name.replace("\u00a0", " ")).strip()
     if _GROUP.search(text):
         tokens: list[str] = []
         for token in re.findall(r"[^\W_]+(?:['’\-][^\W_]+)*", text.replace("&", " and ")):
-            token = fold(token)
+            token = fold(token).replace("-", "")
             if token not in _EMPTY:
                 tokens.extend(_ACRONYMS.get(token, [token]))
-        return True, False, tokens, ""
+        return True, -1, tokens, ""
     text = _QUOTED.sub(" ", _DEGREE.sub("", text)).strip()
-    text = _SPLIT_R.sub("", text)
-    comma = bool(re.match(r"^[^,]+,\s*\S", text))
-    pieces = text.split(" ")
-    for i in range(len(pieces) - 1):  # a particle with a typing error
-        if len(pieces[i]) <= 4 and len(pieces[i + 1]) <= 4 and _near(fold(pieces[i]), "van") and _near(fold(pieces[i + 1]), "der"):
-            pieces[i : i + 2] = ["", ""]
-    text = _PARTICLE.sub("", " ".join(pieces).strip())
-    tokens, initials = [], ""
-    for token in re.split(r"[\s,]+", text):
+    pieces, comma = _glued(text)
+    tokens, initials, surname = [], "", -1
+    for token, known in pieces:
         letters = re.sub(r"[^\w]", "", token)
         if not letters:
             continue
         parts = [p for p in re.split(r"[.\-‐‑]+", token) if p]
-        if all(len(p) == 1 for p in parts) and len(parts) <= 3 or len(letters) == 1:
+        if not known and (all(len(p) == 1 for p in parts) and len(parts) <= 3 or len(letters) == 1):
             initials += fold(letters)
-        else:
-            tokens.append(fold(token.replace(".", "")))
-    return False, comma, [t for t in tokens if t], initials
+            continue
+        folded = fold(token.replace(".", ""))
+        if folded:
+            if known or comma and not tokens and not initials:
+                surname = len(tokens)
+            tokens.append(folded)
+    return False, surname, tokens, initials
 
 
-def _near(a: str, b: str) -> bool:
-    """Within one insertion, deletion, change or swap of neighbours."""
-    if a == b:
-        return True
-    if abs(len(a) - len(b)) > 1:
-        return False
-    k = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-    return a[k + 1 :] == b[k + 1 :] or a[k + 1 :] == b[k:] or a[k:] == b[k + 1 :] or a[k : k + 2] == b[k : k + 2][::-1] and a[k + 2 :] == b[k + 2 :]
+def _forms(anchor: str) -> tuple[str, ...]:
+    """A surname with its particles as one word, and without them."""
+    particle, bound, bare = anchor.rpartition(_BOUND)
+    return (particle + bare, bare) if bound and len(bare) >= 3 else (particle + bare,)
 
 
 _NO = 9.0
 
 
+def _stands_for(token: str) -> frozenset[str]:
+    return NICKNAMES.get(token, frozenset()) | {token}
+
+
 def _cost(a: str, b: str) -> float:
     if a == b:
         return 0.0
-    if NICKNAMES.get(a, a) == NICKNAMES.get(b, b):
+    if _stands_for(a) & _stands_for(b):
         return 0.2
     if len(a) == 1 or len(b) == 1:
-        return 0.4 if a[0] == b[0] else _NO
-    if min(len(a), len(b)) >= 4 and _near(a, b):
+        full, letter = (b, a) if len(a) == 1 else (a, b)
+        return 0.4 if any(x[:1] == letter for x in _stands_for(full)) else _NO
+    # a nickname is no typing error of another name: Sanna is not Anna
+    if any(near_words(x, y) for x in NICKNAMES.get(a, (a,)) for y in NICKNAMES.get(b, (b,))):
         return 1.0
     short, full = sorted((a, b), key=len)
     if len(short) >= 5 and full.startswith(short) and len(full) - len(short) >= 3:
@@ -115,87 +184,143 @@ def _cost(a: str, b: str) -> float:
     return _NO
 
 
+def assigned(costs: np.ndarray) -> list[int]:
+    """The column of each row in an assignment of least total cost, by shortest augmenting paths; rows are at most as many as columns."""
+    n, m = costs.shape
+    of_row, of_column = np.zeros(n + 1), np.zeros(m + 1)
+    owner = [0] * (m + 1)  # of a column, from 1; 0: free
+    for row in range(1, n + 1):
+        owner[0], at = row, 0
+        least, seen, came = np.full(m + 1, np.inf), np.zeros(m + 1, dtype=bool), np.zeros(m + 1, dtype=int)
+        while owner[at]:
+            seen[at] = True
+            slack = costs[owner[at] - 1] - of_row[owner[at]] - of_column[1:]
+            better = ~seen[1:] & (slack < least[1:])
+            least[1:][better], came[1:][better] = slack[better], at
+            step = int(np.argmin(np.where(seen[1:], np.inf, least[1:]))) + 1
+            delta = least[step]
+            for j in np.flatnonzero(seen):
+                of_row[owner[j]] += delta
+                of_column[j] -= delta
+            least[1:][~seen[1:]] -= delta
+            at = step
+        while at:
+            owner[at], at = owner[came[at]], int(came[at])
+    places = [0] * n
+    for j in range(1, m + 1):
+        if owner[j]:
+            places[owner[j] - 1] = j - 1
+    return places
+
+
 def alignment(a: list[str], b: list[str]) -> float:
     """Least total cost of assigning the tokens of the shorter list to different ones of the longer."""
     if len(a) > len(b):
         a, b = b, a
-    if len(b) > 12:
-        return 0.0 if sorted(a) == sorted(b) else _NO
+    if not a:
+        return 0.0
+    if len(b) > 6:
+        costs = np.array([[_cost(x, y) for y in b] for x in a])
+        return float(sum(costs[i, j] for i, j in enumerate(assigned(costs))))
 
     @lru_cache(maxsize=None)
     def best(i: int, used: int) -> float:
         if i == len(a):
             return 0.0
-        return min((_cost(a[i], b[j]) + best(i + 1, used | 1 << j) for j in range(len(b)) if not used >> j & 1), default=0.0)
+        return min(_cost(a[i], b[j]) + best(i + 1, used | 1 << j) for j in range(len(b)) if not used >> j & 1)
 
     return best(0, 0)
 
 
-def same_name(group: bool, a: list[str], a_initials: str, b: list[str], b_initials: str) -> bool:
-    """Whether the names, anchor first, can mean the same: every full token is matched and at most two typing errors remain."""
+def _given(tokens: list[str]) -> list[str]:
+    return [p for t in tokens for p in t.split("-") if p]
+
+
+def same_name(group: bool, a: list[str], a_initials: str, b: list[str], b_initials: str) -> str:
+    """How two names, anchor first, can mean the same: '' not at all; 'full' by full tokens or, lacking these on both
+    sides, by initials; 'first' or 'second' where that one has an initial for a full token of the other.
+
+    Every full token of the other parts is matched, in any order, by one within an edit, a nickname
+    or an initial; left over may be initials of one side only, and two typing errors at most remain.
+    """
+    if not a or not b:
+        return ""
     if group:
-        return len(a) == len(b) and alignment(a, b) <= 2.0
-    if not a or not b or not _near(a[0], b[0]):
-        return False
-    given_a, given_b = "".join(a[1:]), "".join(b[1:])
-    rest_a, rest_b = a_initials, b_initials
-    if given_a and given_b:
-        if _cost(given_a, given_b) > 1.0:
-            return False
-    elif given_a or given_b:
-        full, letters = (given_a, b_initials) if given_a else (given_b, a_initials)
-        full = NICKNAMES.get(full, full)
-        if not letters or letters[0] != full[0]:
-            return False
-        return True
-    elif not rest_a or not rest_b or rest_a[0] != rest_b[0]:
-        return False
-    # two middle initials must agree
-    return not (rest_a and rest_b) or rest_a.startswith(rest_b) or rest_b.startswith(rest_a)
+        return "full" if len(a) == len(b) and alignment(a, b) <= 2.0 else ""
+    errors = float(not {*_forms(a[0])} & {*_forms(b[0])})
+    if errors and not any(near_words(x, y, 5) for x in _forms(a[0]) for y in _forms(b[0])):
+        return ""
+    full_a, full_b = _given(a[1:]), _given(b[1:])
+    if not full_a and not full_b:
+        # what is left of the initials on either side must agree with the other
+        begins = a_initials.startswith(b_initials) or b_initials.startswith(a_initials)
+        return "full" if a_initials and b_initials and begins else ""
+    if len(full_a) == len(full_b) or full_a and full_b and near_words("".join(full_a), "".join(full_b)):
+        whole = alignment(full_a, full_b) if len(full_a) == len(full_b) else _NO
+        if len(full_a) + len(full_b) > 2:  # parts may be written as one word
+            joined = "".join(full_a), "".join(full_b)
+            whole = min(whole, 0.0 if joined[0] == joined[1] else 1.0 if near_words(*joined) else _NO)
+        # two middle initials must agree
+        middle = not (a_initials and b_initials) or a_initials.startswith(b_initials) or b_initials.startswith(a_initials)
+        return "full" if middle and errors + whole <= 2.0 else ""
+    first = len(full_a) < len(full_b)
+    few, letters, many, others = (full_a, a_initials, full_b, b_initials) if first else (full_b, b_initials, full_a, a_initials)
+    if not few:  # initials only: the first stands for the first given name
+        fits = letters and any(x[:1] == letters[0] for x in _stands_for(many[0]) | _stands_for("".join(many)))
+        return ("first" if first else "second") if fits else ""
+    short = [*few, *letters]
+    if len(short) < len(many) or others and len(letters) > len(many) - len(few):
+        return ""
+    return ("first" if first else "second") if errors + alignment(many, short) <= 2.0 else ""
 
 
 def _deletes(token: Column) -> Column:
     """The token and what is left of it after each single deletion."""
     cut = F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.concat(F.substring(token, F.lit(1), i - 1), F.substring(token, i + 1, F.length(token))))
-    return F.array_distinct(F.concat(F.array(token), F.when(F.length(token) >= 5, cut).otherwise(F.array().cast("array<string>"))))
+    return F.array_distinct(F.concat(F.array(token), F.when(F.length(token) >= 3, cut).otherwise(F.array().cast("array<string>"))))
 
 
-def near_tokens(tokens: DataFrame, token: str = "token") -> DataFrame:
-    """``a, b``: different tokens within one insertion, deletion, change or swap of neighbours.
+def near_tokens(tokens: DataFrame, token: str = "token", least: int = 4) -> DataFrame:
+    """``a, b``: different tokens within one insertion, deletion, change or swap of neighbours, as ``near_words`` has it.
 
     Two tokens that are so near share a token of their delete neighbourhoods; the index is joined
-    on that. A neighbourhood is as long as its token, and few tokens share a member of it.
+    on that. A neighbourhood is as long as its token, and few tokens share a member of it. A
+    surname with particles is also indexed without them.
     """
-    index = tokens.select(F.col(token).alias("t"), F.explode(_deletes(F.col(token))).alias("d"))
-    pairs = index.select(F.col("t").alias("a"), "d").join(index.select(F.col("t").alias("b"), "d"), "d").filter("a <> b").select("a", "b").distinct()
+    whole, bare = F.replace(F.col(token), F.lit(_BOUND), F.lit("")), F.element_at(F.split(token, _BOUND), -1)
+    forms = F.array_distinct(F.when(F.length(bare) >= 3, F.array(whole, bare)).otherwise(F.array(whole)))
+    index = tokens.select(F.col(token).alias("t"), F.explode(forms).alias("f")).select("t", "f", F.explode(_deletes(F.col("f"))).alias("d"))
+    pairs = index.select(F.col("t").alias("a"), F.col("f").alias("fa"), "d").join(index.select(F.col("t").alias("b"), F.col("f").alias("fb"), "d"), "d")
+    pairs = pairs.filter((F.col("a") < F.col("b")) & (F.abs(F.length("fa") - F.length("fb")) <= 1)).select("a", "b", "fa", "fb").distinct()
 
     @F.pandas_udf("boolean")
     def close(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_near(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+        return pd.Series([near_words(x, y, least) for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    return pairs.filter((F.abs(F.length("a") - F.length("b")) <= 1) & close("a", "b"))
+    pairs = pairs.filter(close("fa", "fb")).select("a", "b").distinct()
+    return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
 def link_names(names: DataFrame, name: str) -> DataFrame:
     """``name, mentions, class_id, signature``: the spellings of ``names`` with the class each belongs to.
 
     A spelling is compared exactly as given, once, whatever its number of rows; null and blank
-    names don't count. Spellings of one class mean the same person or group. Names with initials
-    only join the class of a full name if exactly one fits. Names without any full token stand
-    alone, each in its class. Texts of any length are read whole.
+    names don't count. Spellings of one class mean the same person or group. Names with an initial
+    for a given name only join the class of a full name if exactly one fits. Names without any full
+    token stand alone, each in its class. Texts of any length are read whole.
     """
     spark = names.sparkSession
     scratch = Scratch(spark, "names")
 
-    @F.pandas_udf("is_group boolean, comma boolean, tokens array<string>, initials string")
+    @F.pandas_udf("is_group boolean, surname int, tokens array<string>, initials string")
     def parsed_as(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse(n) for n in texts], columns=["is_group", "comma", "tokens", "initials"])
+        return pd.DataFrame([parse(n) for n in texts], columns=["is_group", "surname", "tokens", "initials"])
 
     distinct = names.select(F.col(f"`{name}`").cast("string").alias("name")).filter(F.length(F.trim("name")) > 0).groupBy("name").agg(F.count("*").alias("mentions"))
     parsed = scratch.write(distinct.withColumn("p", parsed_as("name")).select("name", "mentions", "p.*"), "parsed")
 
     # tokens with their mentions; a typing error of a far more frequent token is read as that one
-    at = parsed.select("name", "mentions", "is_group", F.posexplode("tokens").alias("pos", "token"))
+    at = parsed.select("name", "mentions", "surname", F.posexplode("tokens").alias("pos", "token"))
     counts = scratch.write(at.groupBy("token").agg(F.sum("mentions").alias("m")), "tokens")
     near = scratch.write(near_tokens(counts), "near")
     m_a = counts.select(F.col("token").alias("a"), F.col("m").alias("m_a"))
@@ -203,77 +328,118 @@ def link_names(names: DataFrame, name: str) -> DataFrame:
     better = near.join(m_a, "a").join(m_b, "b").filter((F.col("m_b") >= 5 * F.col("m_a")) & (F.col("m_b") >= 5) & (F.length("a") >= 4))
     better = better.groupBy("a").agg(F.max(F.struct("m_b", "b")).alias("best")).select(F.col("a").alias("token"), F.col("best.b").alias("read"))
     at = at.join(better, "token", "left").withColumn("read", F.coalesce("read", "token"))
-    # given names and words of groups stand beside many others, surnames beside few
-    beside = at.select("name", "read").join(at.select("name", F.col("read").alias("other")), "name").filter("read <> other")
-    partners = beside.select("read", "other").distinct().groupBy("read").agg(F.count("*").alias("partners"))
-    at = at.join(partners, "read", "left").na.fill(0, ["partners"])
-    listed = at.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("pos", "token", "read", "partners"))).alias("ts"))
-    listed = parsed.select("name", "mentions", "is_group", "comma", "initials").join(listed, "name", "left")
-
-    shape = "anchor string, others array<string>, letter string"
-
-    @F.pandas_udf(shape)
-    def signature(is_group: pd.Series, comma: pd.Series, initials: pd.Series, ts: pd.Series) -> pd.DataFrame:
+    # given names and words of groups stand beside many others, surnames beside few; what is beside a token is one number
+    whole = at.groupBy("name").agg(F.bit_xor(F.xxhash64("read")).alias("whole"))
+    beside = at.select("name", "read").join(whole, "name").select("read", F.expr("whole ^ xxhash64(read)").alias("rest")).filter("rest <> 0")
+    partners = beside.distinct().groupBy("read").agg(F.count("*").alias("partners"))
+    # and some names tell which of their tokens is the surname, by a comma or a particle
+    role = F.when(F.col("surname") < 0, 0).when(F.col("surname") == F.col("pos"), 1).otherwise(-1)
+    roles = at.groupBy("read").agg(F.sum(role * F.col("mentions")).alias("role"))
+    at = at.join(partners, "read", "left").join(roles, "read").na.fill(0, ["partners"])
+    listed = at.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("pos", "token", "read", "partners", "role"))).alias("ts"))
+    listed = parsed.select("name", "mentions", "is_group", "surname", "initials").join(listed, "name", "left")
+
+    @F.pandas_udf("anchor string, others array<string>")
+    def signature(is_group: pd.Series, surname: pd.Series, ts: pd.Series) -> pd.DataFrame:
         rows = []
-        for group, first, letters, tokens in zip(is_group, comma, initials, ts, strict=True):
+        for group, known, tokens in zip(is_group, surname, ts, strict=True):
             tokens = [] if tokens is None else list(tokens)
             if not tokens:
-                rows.append((None, [], ""))
+                rows.append((None, []))
                 continue
             beside = [t["partners"] + (1000 if not group and t["read"] in GIVEN else 0) for t in tokens]
             fewest = min(beside)
-            k = 0
-            if group or len(tokens) > 1 and not first:
+            k = max(known, 0)
+            if group or len(tokens) > 1 and known < 0:
                 k = beside.index(fewest)
                 # only a clear difference tells a given name from a surname that stands first
                 if not group and beside[0] < 2 * max(fewest, 1):
                     k = 0
-            # the anchor as it is written: its near ones are found by the index
-            anchor = tokens[k]["token"]
+                told = [t["role"] for t in tokens]
+                if not group and max(told) > 0 >= sorted(told)[-2]:
+                    k = told.index(max(told))
             others = [t["token"] if t["token"] in NICKNAMES else t["read"] for i, t in enumerate(tokens) if i != k]
             if group:
-                rows.append((tokens[k]["read"], sorted(others), "#"))
-                continue
-            given = "".join(others)
-            given = NICKNAMES.get(given, given)
-            rows.append((anchor, [given] if given else [], (given or letters or "?")[0]))
-        return pd.DataFrame(rows, columns=["anchor", "others", "letter"])
+                rows.append((tokens[k]["read"], sorted(others)))
+            else:  # the anchor as it is written: its near ones are found by the index
+                rows.append((tokens[k]["token"].replace("-", ""), others))
+        return pd.DataFrame(rows, columns=["anchor", "others"])
 
-    named = listed.withColumn("s", signature("is_group", "comma", "initials", "ts")).select("name", "mentions", "is_group", "initials", "s.*")
+    named = listed.withColumn("s", signature("is_group", "surname", "ts")).select("name", "mentions", "is_group", "initials", "s.*")
     # no full token at all: nothing to compare by
     named = named.withColumn("sig", F.xxhash64("is_group", F.coalesce("anchor", F.concat(F.lit("="), "name")), F.array_join("others", " "), "initials"))
     named = scratch.write(named, "named")
-    sigs = named.filter(F.col("anchor").isNotNull() & (F.col("letter") != "?")).groupBy("sig").agg(
-        *(F.first(c).alias(c) for c in ("is_group", "anchor", "others", "letter", "initials")), F.sum("mentions").alias("mentions")
-    )
+    told = F.col("anchor").isNotNull() & (F.col("is_group") | (F.size("others") > 0) | (F.col("initials") != ""))
+    sigs = named.filter(told).groupBy("sig").agg(*(F.first(c).alias(c) for c in ("is_group", "anchor", "others", "initials")))
     sigs = scratch.write(sigs, "signatures")
     anchors = sigs.select("anchor").distinct()
-    # anchors of groups need not be among the tokens as written, so they are indexed anew
-    beside = near_tokens(anchors, "anchor").unionByName(anchors.select(F.col("anchor").alias("a"), F.col("anchor").alias("b")))
-    fields = ("sig", "is_group", "anchor", "others", "letter", "initials")
-    left = sigs.select(*(F.col(c).alias(f"{c}_1") for c in fields))
-    right = sigs.select(*(F.col(c).alias(f"{c}_2") for c in fields))
-    meet = left.join(beside, F.col("anchor_1") == F.col("a")).join(right, (F.col("anchor_2") == F.col("b")) & (F.col("letter_1") == F.col("letter_2")) & (F.col("is_group_1") == F.col("is_group_2")))
-    meet = meet.filter("sig_1 < sig_2")
-
-    @F.pandas_udf("boolean")
-    def same(group: pd.Series, a: pd.Series, ao: pd.Series, ai: pd.Series, b: pd.Series, bo: pd.Series, bi: pd.Series) -> pd.Series:
-        return pd.Series([same_name(g, [x, *xo], xi, [y, *yo], yi) for g, x, xo, xi, y, yo, yi in zip(group, a, ao, ai, b, bo, bi, strict=True)], dtype=bool)
-
-    links = meet.filter(same("is_group_1", "anchor_1", "others_1", "initials_1", "anchor_2", "others_2", "initials_2"))
-    full_1, full_2 = F.size("others_1") > 0, F.size("others_2") > 0
-    links = scratch.write(links.select(F.col("sig_1").alias("u"), F.col("sig_2").alias("v"), full_1.alias("full_u"), full_2.alias("full_v")), "links")
-    full = connected_components(links.filter("full_u and full_v"), scratch, "full")
-    full_of = sigs.filter(F.size("others") > 0).select(F.col("sig").alias("node")).join(full, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    # a name with initials only goes to the one full name that fits, if there is one
-    short = links.filter("full_u <> full_v").select(F.when(F.col("full_u"), F.col("v")).otherwise(F.col("u")).alias("short"), F.when(F.col("full_u"), F.col("u")).otherwise(F.col("v")).alias("node"))
-    fits = short.join(full_of, "node").groupBy("short").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    beside = near_tokens(anchors, "anchor", 5).unionByName(anchors.select(F.col("anchor").alias("a"), F.col("anchor").alias("b")))
+    links = _compared(sigs, scratch.write(beside, "anchors"), scratch)
+
+    # full names first, then names with an initial for one of their parts, then names with initials only
+    bare = sigs.select(F.col("sig").alias("node"), (F.size("others") == 0).alias("bare"))
+    own = sigs.select(F.col("sig").alias("node"))
+    pairs = links.join(bare.select(F.col("node").alias("u"), F.col("bare").alias("bare_u")), "u").join(bare.select(F.col("node").alias("v"), F.col("bare").alias("bare_v")), "v")
+    pairs = scratch.write(pairs, "links")
+    full = connected_components(pairs.filter("kind = 'full' and not bare_u"), scratch, "full")
+    short = pairs.filter("kind <> 'full'").select(F.when(F.col("kind") == "first", F.col("u")).otherwise(F.col("v")).alias("short"), F.when(F.col("kind") == "first", F.col("v")).otherwise(F.col("u")).alias("node"), F.when(F.col("kind") == "first", F.col("bare_u")).otherwise(F.col("bare_v")).alias("bare"))
+    in_full = own.join(full, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    sizes = in_full.groupBy("component").agg(F.count("*").alias("size"))
+    # all members of a class must fit one other class, and no other
+    part = short.filter("not bare").select("short", "node").join(in_full.withColumnsRenamed({"node": "short", "component": "c"}), "short").join(in_full.withColumnRenamed("component", "into"), "node")
+    part = part.groupBy("c").agg(F.count_distinct("short").alias("members"), F.min("into").alias("low"), F.max("into").alias("high")).filter("low = high")
+    part = part.join(sizes.withColumnRenamed("component", "c"), "c").filter("members = size").select(F.col("c").alias("u"), F.col("low").alias("v"))
+    edges = full.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(part)
+    full = connected_components(edges, scratch, "parts")
+    in_full = own.join(full, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    fits = short.filter("bare").select("short", "node").join(in_full, "node").groupBy("short").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    fits = scratch.write(fits, "fits")
     joins = fits.filter("low = high").select(F.col("short").alias("u"), F.col("low").alias("v"))
-    alone = links.filter("not full_u and not full_v").select("u", "v").join(fits.select(F.col("short").alias("u")), "u", "left_anti").join(fits.select(F.col("short").alias("v")), "v", "left_anti")
+    alone = pairs.filter("kind = 'full' and bare_u").select("u", "v").join(fits.select(F.col("short").alias("u")), "u", "left_anti").join(fits.select(F.col("short").alias("v")), "v", "left_anti")
     edges = full.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(joins).unionByName(alone.select("u", "v"))
     classes = connected_components(edges, scratch, "classes")
     result = named.join(classes.withColumnRenamed("node", "sig"), "sig", "left").withColumn("class_id", F.coalesce("component", "sig"))
-    return result.select(F.col("name").alias(name), "mentions", "class_id", F.concat_ws(" ", "anchor", F.array_join("others", " "), "initials").alias("signature"))
+    return result.select(F.col("name").alias(name), "mentions", "class_id", F.concat_ws(" ", F.replace("anchor", F.lit(_BOUND), F.lit(" ")), F.array_join("others", " "), "initials").alias("signature"))
+
+
+def _compared(sigs: DataFrame, anchors: DataFrame, scratch: Scratch) -> DataFrame:
+    """``u, v, kind``: what ``same_name`` says of the signatures whose anchors are near and that share a key.
+
+    Keys of a full token are its delete neighbourhood, what it may be short for and its first five
+    letters; of an initial, and of a full token against initials, the letter. A surname that a third
+    of all names hold is thus split by what stands beside it, and hot keys are salted.
+    """
+    none = F.array().cast("array<string>")
+    stands = F.create_map(*(x for short, fulls in NICKNAMES.items() for x in (F.lit(short), F.array(*map(F.lit, sorted(fulls))))))
+    parts = F.flatten(F.transform("others", lambda t: F.filter(F.split(t, "-"), lambda p: p != "")))
+    whole = F.array_join(parts, "")
+    words = F.array_distinct(F.concat(parts, F.when(whole != "", F.array(whole)).otherwise(none)))
+    forms = F.array_distinct(F.flatten(F.transform(words, lambda t: F.concat(F.array(t), F.coalesce(F.element_at(stands, t), none)))))
+    keys = F.concat(F.flatten(F.transform(forms, _deletes)), F.transform(F.filter(words, lambda t: F.length(t) >= 5), lambda t: F.concat(F.lit("^"), F.substring(t, 1, 5))))
+    keys = F.when(F.size("others") > 0, F.array_distinct(keys)).when(F.col("is_group"), F.array(F.lit(""))).otherwise(none)
+    letters = F.when(F.col("is_group"), none).otherwise(F.array_distinct(F.transform(forms, lambda t: F.concat(F.lit("="), F.substring(t, 1, 1)))))
+    first = F.when(~F.col("is_group") & (F.size("others") == 0), F.array(F.concat(F.lit("="), F.substring("initials", 1, 1)))).otherwise(none)
+    fields = ("sig", "is_group", "anchor", "others", "initials")
+    keyed = sigs.select(*fields, keys.alias("keys"), letters.alias("letters"), first.alias("first"))
+    keyed = scratch.write(keyed, "keyed")
+    # one side goes to the anchors near its own
+    moved = keyed.join(anchors.withColumnsRenamed({"a": "anchor", "b": "beside"}), "anchor")
+    left = moved.select("sig", F.col("beside").alias("anchor"), F.explode(F.concat("keys", "first")).alias("key"))
+    right = keyed.select("sig", "anchor", F.explode(F.concat("keys", "first", "letters")).alias("key"))
+    hot = left.groupBy("anchor", "key").count().filter(F.col("count") > HOT).select("anchor", "key", F.lit(True).alias("hot"))
+    left = left.join(hot, ["anchor", "key"], "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("sig"), F.lit(SALTS)).cast("int")).otherwise(0))
+    right = right.join(hot, ["anchor", "key"], "left").withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    met = left.select("anchor", "key", "salt", F.col("sig").alias("x")).join(right.select("anchor", "key", "salt", F.col("sig").alias("y")), ["anchor", "key", "salt"])
+    met = met.filter("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+    met = met.join(sigs.select(*(F.col(c).alias(f"{c}_1") for c in fields)), F.col("u") == F.col("sig_1")).join(sigs.select(*(F.col(c).alias(f"{c}_2") for c in fields)), F.col("v") == F.col("sig_2"))
+
+    @F.pandas_udf("string")
+    def same(group: pd.Series, a: pd.Series, ao: pd.Series, ai: pd.Series, b: pd.Series, bo: pd.Series, bi: pd.Series) -> pd.Series:
+        return pd.Series([same_name(g, [x, *xo], xi, [y, *yo], yi) for g, x, xo, xi, y, yo, yi in zip(group, a, ao, ai, b, bo, bi, strict=True)], dtype=object)
+
+    kind = same("is_group_1", "anchor_1", "others_1", "initials_1", "anchor_2", "others_2", "initials_2")
+    met = met.filter("is_group_1 = is_group_2").select("u", "v", kind.alias("kind"))
+    return scratch.write(met, "met").filter("kind <> ''")
 
 
 def linked_pairs(classes: DataFrame, name: str) -> DataFrame:
