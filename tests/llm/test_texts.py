@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from textloom.llm.chunking import Limits, split_oversized, split_text
+from textloom.llm import leakage
 from textloom.llm.leakage import _hashed, carries, find_leaks, words
 from textloom.llm.mixing import mix_sources, quotas, source_name
 from textloom.llm.sentences import sentences, split_sentences
@@ -133,6 +134,28 @@ def test_carried_runs_equal_brute_force():
         assert carries(_hashed(doc), _hashed(passage), 12, diagonals) == brute_carries(doc, passage, 12), (doc, passage)
 
 
+def test_leaks_equal_brute_force(spark, monkeypatch):
+    """Also with a filter so small that it lets nearly everything through."""
+    rng = random.Random(14)
+    passages = [[f"w{rng.randrange(60)}" for _ in range(rng.randrange(12, 30))] for _ in range(25)]
+    docs = []
+    for i in range(60):
+        body = [f"w{rng.randrange(60)}" for _ in range(rng.randrange(0, 60))]
+        part = rng.choice(passages)
+        at = rng.randrange(len(part))
+        part = part[at : at + rng.randrange(9, 16)]
+        if rng.random() < 0.5 and len(part) > 2:
+            part[rng.randrange(len(part))] = "changed"
+        docs.append((i, " ".join(body[: len(body) // 2] + part + body[len(body) // 2 :])))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame([(k, " ".join(p)) for k, p in enumerate(passages)], "item_id long, passage string")
+    expected = {(doc, k) for doc, body in docs for k, p in enumerate(passages) if brute_carries(words(body), p, 12)}
+    assert expected
+    for most in (leakage.MOST_BITS, 2**12):
+        monkeypatch.setattr(leakage, "MOST_BITS", most)
+        assert {tuple(r) for r in find_leaks(d, i, "doc_id", "text", "item_id", "passage").collect()} == expected
+
+
 def test_leaks(spark):
     passage = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
     docs = [(1, f"before {passage.upper()} after", 0), (2, passage.replace("six", "<b>s­ix</b>,"), 0), (3, passage.replace("six", "sixty").replace("nine", "ninety"), 0), (4, None, 0), (5, "", 0), (6, "one two three four five six", 0), (1, passage, 0)]

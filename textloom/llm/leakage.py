@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 from textloom.plans.scratch import Scratch
 
 SHINGLE = 5
-#: Items are taken in blocks of so many rows; the shingles of one block are what goes to the tasks.
-BLOCK = 20_000
+#: The filter of the items' shingles: bits for each, places a shingle takes, and the most bits, whatever the number of items (16 MB).
+FILTER_BITS, PLACES, MOST_BITS = 32, 4, 2**27
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 _TAGS = re.compile(r"<sup>[^<>]*</sup>|</?[A-Za-z][^<>]{0,80}>|\[\d{1,3}\]|[¹²³⁰⁴-⁹₀-₉]")
@@ -61,25 +61,34 @@ def _shingles(hashes: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         for k in range(SHINGLE):
             out = out * _BASE + (hashes[k : k + n] ^ (hashes[k : k + n] >> np.uint64(29)))
+        out ^= out >> np.uint64(32)
+        out *= _BASE
+        out ^= out >> np.uint64(29)
     return out
 
 
+def _places(shingles: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The places of each shingle in a filter of ``bits`` bits, a power of two."""
+    with np.errstate(over="ignore"):
+        second = (shingles >> np.uint64(33)) | np.uint64(1)
+        return [(shingles + np.uint64(k) * second) & np.uint64(bits - 1) for k in range(PLACES)]
+
+
 def carries(document: np.ndarray, passage: np.ndarray, run: int, diagonals: np.ndarray) -> bool:
     """Whether ``run`` running words of the passage stand in the document with at most one altered, dropped or added."""
     n = len(passage)
     if n < run:
         return False
+    places = np.arange(n)
 
     def matches(diagonal: int) -> tuple[np.ndarray, np.ndarray]:
-        at = np.arange(n) + diagonal
+        at = places + diagonal
         inside = (at >= 0) & (at < len(document))
         same = np.zeros(n, dtype=bool)
         same[inside] = document[at[inside]] == passage[inside]
         ends, starts = np.zeros(n + 1, dtype=np.int64), np.zeros(n + 2, dtype=np.int64)
-        for i in range(n):
-            ends[i + 1] = ends[i] + 1 if same[i] else 0  # matches that end before word i + 1
-        for i in range(n - 1, -1, -1):
-            starts[i] = starts[i + 1] + 1 if same[i] else 0  # matches that start at word i
+        ends[1:] = places + 1 - np.maximum.accumulate(np.where(same, 0, places + 1))  # matches that end with word i
+        starts[:n] = np.minimum.accumulate(np.where(same, n, places)[::-1])[::-1] - places  # matches that start at word i
         return ends, starts
 
     known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -108,10 +117,10 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str, text: str, i
     """Columns ``doc_id, item_id``: documents that carry ``run`` running words of a passage, at most one of them altered, dropped or added.
 
     Null and empty texts carry nothing; passages of fewer than ``run`` words can't be carried.
-    Documents with the same id count as one. ``items`` is a stated query set: it is taken in blocks
-    of ``BLOCK`` rows, so what is sent to the tasks is bounded whatever its size, and every block
-    runs over all documents. No document's text or words are shuffled unless it shares at least
-    as many shingles with the block, that close together, as a leak must.
+    Documents with the same id count as one. The documents are read once, whatever the number of
+    items: what goes to the tasks is a filter of the items' shingles, of at most ``MOST_BITS`` bits,
+    and what it lets through by chance finds no item. No document's words are shuffled unless it
+    shares at least as many shingles with the items, that close together, as a leak must.
     """
     if run < 2 * SHINGLE + 1:
         raise ValueError(f"a run of {run} words with one altered need not share {SHINGLE} words in a row")
@@ -126,69 +135,71 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str, text: str, i
     def item_words(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: _hashed(words(t)).view(np.int64).tolist())
 
+    @F.pandas_udf("array<struct<h:long,p:int>>")
+    def postings(arrays: pd.Series) -> pd.Series:
+        return arrays.map(lambda a: [{"h": h, "p": p} for p, h in enumerate(_shingles(np.asarray(a, dtype=np.int64).view(np.uint64)).view(np.int64).tolist())])
+
     listed = items.select(F.col(f"`{item_id}`").alias("item"), F.col(f"`{passage}`").alias("passage")).dropna()
-    listed = scratch.write(listed.withColumn("words", item_words("passage")).drop("passage").filter(F.size("words") >= run).withColumn("block", F.lit(0)), "items")
-    total = listed.count()
-    parts = -(-total // BLOCK)
-    if parts > 1:
-        listed = listed.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(parts)).cast("int"))
+    listed = scratch.write(listed.withColumn("words", item_words("passage")).drop("passage").filter(F.size("words") >= run), "items")
+    every = scratch.write(listed.select("item", F.inline(postings("words"))), "shingles")
+    vocabulary = every.select("h").distinct()
+    bits = min(MOST_BITS, max(2**12, 1 << (FILTER_BITS * vocabulary.count()).bit_length()))
+
+    @F.pandas_udf("array<long>")
+    def filter_places(h: pd.Series) -> pd.Series:
+        return pd.Series(np.stack(_places(h.to_numpy().view(np.uint64), bits), axis=1).astype(np.int64).tolist())
+
+    set_bits = vocabulary.select(F.explode(filter_places("h")).alias("place"))
+    set_bits = set_bits.groupBy((F.col("place") / 64).cast("long").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("bits"))
+    field = np.zeros(bits // 64, dtype=np.int64)
+    filled = set_bits.toPandas()  # MOST_BITS / 64 rows at most
+    field[filled["word"].to_numpy(dtype=np.int64)] = filled["bits"].to_numpy(dtype=np.int64)
+    shared_field = spark.sparkContext.broadcast(field.view(np.uint64))
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        field = shared_field.value
+        for frame in frames:
+            rows = []
+            for doc, body in frame.itertuples(index=False, name=None):
+                hashes = _hashed(words(body))
+                own = _shingles(hashes)
+                at = np.arange(len(own))
+                for k in range(PLACES):
+                    place = _places(own[at], bits)[k]
+                    at = at[(field[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1]
+                if not len(at):
+                    continue
+                # bound on count and position: a leak has `needed` hits within the reach of one window
+                near = len(at) >= needed and (at[needed - 1 :] - at[: len(at) - needed + 1] <= per_window).any()
+                rows.append((doc, hashes.view(np.int64).tolist() if near else None, [{"h": h, "p": p} for h, p in zip(own[at].view(np.int64).tolist(), at.tolist(), strict=True)]))
+            yield pd.DataFrame(rows, columns=["doc", "words", "hits"])
+
     texts = documents.select(F.col(f"`{doc_id}`").alias("doc"), F.col(f"`{text}`").cast("string").alias("text")).filter((F.length("text") > run) & F.col("doc").isNotNull())
-    hit_schema = T.StructType(
+    schema = T.StructType(
         [T.StructField("doc", texts.schema["doc"].dataType), T.StructField("words", T.ArrayType(T.LongType())), T.StructField("hits", T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("p", T.IntegerType())])))]
     )
-    result = None
-    for block in range(parts):
-        own = listed.filter(F.col("block") == block)
-        wanted: set[int] = set()
-        for row in own.select("words").toLocalIterator():
-            wanted.update(_shingles(np.array(row[0], dtype=np.int64).view(np.uint64)).tolist())
-        vocabulary = spark.sparkContext.broadcast(np.array(sorted(wanted), dtype=np.uint64))
-
-        def scan(frames: Iterator[pd.DataFrame], vocabulary=vocabulary) -> Iterator[pd.DataFrame]:
-            known = vocabulary.value
-            for frame in frames:
-                rows = []
-                for doc, body in frame.itertuples(index=False, name=None):
-                    hashes = _hashed(words(body))
-                    own_shingles = _shingles(hashes)
-                    slots = np.searchsorted(known, own_shingles)
-                    slots[slots == len(known)] = 0
-                    at = np.flatnonzero(known[slots] == own_shingles) if len(known) else []
-                    # bound on count and position: a leak has `needed` hits within the reach of one window
-                    if len(at) >= needed and (at[needed - 1 :] - at[: len(at) - needed + 1] <= per_window).any():
-                        rows.append((doc, hashes.view(np.int64).tolist(), [{"h": h, "p": p} for h, p in zip(own_shingles[at].view(np.int64).tolist(), at.tolist(), strict=True)]))
-                yield pd.DataFrame(rows, columns=["doc", "words", "hits"])
-
-        near = scratch.write(texts.mapInPandas(scan, hit_schema), f"near-{block}")
-        hits = near.select("doc", F.inline("hits"))
-        rarity = hits.groupBy("h").agg(F.count_distinct("doc").alias("df"))
-
-        @F.pandas_udf("array<struct<h:long,p:int>>")
-        def postings(arrays: pd.Series) -> pd.Series:
-            return arrays.map(lambda a: [{"h": h, "p": p} for p, h in enumerate(_shingles(np.asarray(a, dtype=np.int64).view(np.uint64)).view(np.int64).tolist())])
-
-        every = own.select("item", F.inline(postings("words"))).join(rarity, "h", "left").na.fill(0, ["df"])
-        # the rarest shingles of each window; each is listed once a passage place
-        windows = every.withColumn("w", F.explode(F.sequence(F.greatest(F.col("p") - (per_window - 1), F.lit(0)), F.col("p"))))
-        last = every.groupBy("item").agg(F.max("p").alias("last"))
-        windows = windows.join(last, "item").filter(F.col("w") + (per_window - 1) <= F.col("last"))
-        rank = F.row_number().over(Window.partitionBy("item", "w").orderBy("df", "h", "p"))
-        necessary = windows.withColumn("r", rank).filter(F.col("r") <= prefix).select("item", "h", "p").distinct()
-        candidates = hits.join(necessary.withColumnRenamed("p", "ip"), "h").select("doc", "item").distinct()
-        # all shared shingles of a candidate pair, by diagonal: enough of them must lie close together
-        shared = hits.join(every.select("item", "h", F.col("p").alias("ip")), "h").select("doc", "item", "p", (F.col("p") - F.col("ip")).alias("d"))
-        shared = shared.join(candidates, ["doc", "item"], "left_semi")
-        seeds = shared.groupBy("doc", "item", "d").agg(F.count("*").alias("m"))
-        beside = Window.partitionBy("doc", "item").orderBy("d").rangeBetween(-1, 1)
-        seeds = seeds.withColumn("m", F.sum("m").over(beside)).filter(F.col("m") >= needed).groupBy("doc", "item").agg(F.collect_set("d").alias("ds"))
-
-        @F.pandas_udf("boolean")
-        def verified(document: pd.Series, item: pd.Series, diagonals: pd.Series) -> pd.Series:
-            return pd.Series([carries(np.asarray(d), np.asarray(i), run, np.asarray(x)) for d, i, x in zip(document, item, diagonals, strict=True)])
-
-        pairs = seeds.join(near.select("doc", F.col("words").alias("doc_words")), "doc").join(own.select("item", F.col("words").alias("item_words")), "item")
-        found = pairs.filter(verified("doc_words", "item_words", "ds")).select(F.col("doc").alias(doc_id), F.col("item").alias(item_id)).distinct()
-        result = found if result is None else result.unionByName(found)
-    if result is None:
-        return documents.select(F.col(f"`{doc_id}`").alias(doc_id)).limit(0).join(items.select(F.col(f"`{item_id}`").alias(item_id)).limit(0))
-    return result.distinct() if parts > 1 else result
+    seen = scratch.write(texts.mapInPandas(scan, schema), "seen")
+    # how rare a shingle is in the whole corpus
+    rarity = seen.select(F.explode(F.array_distinct("hits.h")).alias("h")).groupBy("h").agg(F.count("*").alias("df")).join(vocabulary, "h", "left_semi")
+    ranked = every.join(rarity, "h", "left").na.fill(0, ["df"])
+    # the rarest shingles of each window; each is listed once a passage place
+    windows = ranked.withColumn("w", F.explode(F.sequence(F.greatest(F.col("p") - (per_window - 1), F.lit(0)), F.col("p"))))
+    last = every.groupBy("item").agg(F.max("p").alias("last"))
+    windows = windows.join(last, "item").filter(F.col("w") + (per_window - 1) <= F.col("last"))
+    rank = F.row_number().over(Window.partitionBy("item", "w").orderBy("df", "h", "p"))
+    necessary = windows.withColumn("r", rank).filter((F.col("r") <= prefix) & (F.col("df") > 0)).select("item", "h").distinct()
+    near = seen.filter("words is not null")
+    hits = near.select("doc", F.inline("hits"))
+    candidates = scratch.write(hits.join(necessary, "h").select("doc", "item").distinct(), "candidates")
+    # all shared shingles of a candidate pair, by diagonal: enough of them must lie close together
+    shared = candidates.join(hits, "doc").join(every.select("item", "h", F.col("p").alias("ip")), ["item", "h"])
+    seeds = shared.groupBy("doc", "item", (F.col("p") - F.col("ip")).alias("d")).agg(F.count("*").alias("m"))
+    beside = Window.partitionBy("doc", "item").orderBy("d").rangeBetween(-1, 1)
+    seeds = seeds.withColumn("m", F.sum("m").over(beside)).filter(F.col("m") >= needed).groupBy("doc", "item").agg(F.collect_set("d").alias("ds"))
+
+    @F.pandas_udf("boolean")
+    def verified(document: pd.Series, item: pd.Series, diagonals: pd.Series) -> pd.Series:
+        return pd.Series([carries(np.asarray(d), np.asarray(i), run, np.asarray(x)) for d, i, x in zip(document, item, diagonals, strict=True)])
+
+    pairs = seeds.join(near.select("doc", F.col("words").alias("doc_words")), "doc").join(listed.select("item", F.col("words").alias("item_words")), "item")
+    return pairs.filter(verified("doc_words", "item_words", "ds")).select(F.col("doc").alias(doc_id), F.col("item").alias(item_id)).distinct()
