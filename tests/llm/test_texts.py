@@ -134,6 +134,27 @@ def test_carried_runs_equal_brute_force():
         assert carries(_hashed(doc), _hashed(passage), 12, diagonals) == brute_carries(doc, passage, 12), (doc, passage)
 
 
+def pieces_of(text):
+    return [text[a:b] for a, b in sentences(text)]
+
+
+def test_list_levels():
+    assert pieces_of("1. First item\ncontinues here. And more\n1.1. Nested item\n2. Second") == ["1. First item\ncontinues here.", "And more", "1.1. Nested item", "2. Second"]
+    assert pieces_of("- One item\n  wrapped on. Two here\n  - nested. Really\n- Next item\nPlain text goes. On here.") == [
+        "- One item\n  wrapped on.", "Two here", "- nested. Really", "- Next item", "Plain text goes.", "On here.",
+    ]
+    assert pieces_of("Measured 1.5 mg daily\n2.5 mg weekly. Done.") == ["Measured 1.5 mg daily\n2.5 mg weekly.", "Done."]
+    assert pieces_of("1. One\n1.1 Below\n1.2 Below too\n2 Two") == ["1. One", "1.1 Below", "1.2 Below too", "2 Two"]
+
+
+def test_long_quotations_and_stray_marks():
+    aside = "A long aside. With sentences and so on. " * 100
+    assert len(pieces_of(f"He said ({aside}end) then left. Next.")) == 2
+    assert len(pieces_of(f"Er sagte: „{aside}Ende“ und ging. Weiter.")) == 2
+    assert pieces_of("A stray ( here. Next one. Third „quoted. Text“ here. End.") == ["A stray ( here.", "Next one.", "Third „quoted. Text“ here.", "End."]
+    assert len(pieces_of("( " * 20_000 + "one. Two.")) == 2
+
+
 def test_leaks_equal_brute_force(spark, monkeypatch):
     """Also with a filter so small that it lets nearly everything through."""
     rng = random.Random(14)

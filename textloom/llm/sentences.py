@@ -1,8 +1,9 @@
 """Sentence boundaries in ten languages, found by a pushdown automaton over the text.
 
-The automaton reads only marks: terminators, quotes, brackets and line ends. Its stack holds the
-open quotes and brackets; nothing inside them ends a sentence. Abbreviations are looked up in a
-trie read backwards from the full stop. A line may be a list item, which is a unit of its own.
+The automaton reads only marks: terminators, quotes, brackets, line ends and the bullets and numbers
+of list items. One stack holds the open quotes and brackets; nothing inside them ends a sentence.
+Another holds the open list levels: they tell whether a number opens an item, and whether a line
+goes on with one. Abbreviations are looked up in a trie read backwards from the full stop.
 """
 
 from __future__ import annotations
@@ -37,13 +38,16 @@ _FOLLOWERS = frozenset("KG OHG Inc Ltd LLC KGaA".split())
 
 CLOSERS = "\"”“»«›’')]）】」』》〉"
 _PAIRS = {"“": "”", "„": "“”", "«": "»", "»": "«", "‹": "›", "(": ")", "[": "]", "（": "）", "「": "」", "『": "』", "【": "】", "《": "》", '"': '"', "”": "”"}
+#: The marks that each mark closes.
+_CLOSED_BY = {ch: [own for own, closers in _PAIRS.items() if ch in closers] for ch in set("".join(_PAIRS.values()))}
+_OPENS = re.compile("[" + re.escape("".join({*_PAIRS, *_CLOSED_BY} - {'"', "”"})) + "”]")
 _CLOSE = frozenset("”“»«›)]）」』】》\"")
-#: A quotation or bracket that is not closed within so many characters of its block is taken for a stray mark.
-REACH = 1500
 
 _BREAK = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+|\r\n[^\S\n]*\r\n\s*")
 _BULLET = re.compile(r"[^\S\n]*[*•‣▪◦●·‐\-][^\S\n]+\S")
 _NUMBERED = re.compile(r"[^\S\n]*(?:\(?\d{1,2}[.)]|[a-z]\))[^\S\n]+\S")
+_PATH = re.compile(r"[^\S\n]*\(?(\d{1,2}(?:\.\d{1,2})*)[.)]?[^\S\n]+\S")
+_INDENT = re.compile(r"[^\S\n]*")
 _MARK = re.compile(r"[.!?…。！？．｡।॥؟۔]+|[“”„«»‹›()\[\]（）「」『』【】《》\"]|\n")
 _AFTER = re.compile(rf"(?:[{re.escape(CLOSERS)}]|</\w+>|<sup>[^<>]*</sup>|[¹²³⁴-⁹⁰]|[^\S\n]+[»”](?=[\s,.]|$))*")
 _BLANK = re.compile(r"[\s​﻿]*")
@@ -95,7 +99,7 @@ def _opens(text: str, at: int, end: int) -> bool:
         return True
     ch = text[at]
     if not ch.islower():
-        return ch not in ",;:)]»”-–—" or ch in "–—" and False
+        return ch not in ",;:)]»”-–—"
     word = _WORD.match(text, at, end)
     return bool(word) and any(c.isupper() for c in word.group()[1:3])
 
@@ -155,31 +159,31 @@ def _ends_here(text: str, mark: int, after: int, tail: int, start: int, end: int
         number = re.search(r"(?:^|[^\w.,])(\d{1,3})$", text[max(start, mark - 5) : mark])
         if number:
             return False
-    if before.isdigit() and re.fullmatch(r"\s*\(?\d{1,2}", text[start:mark]):
+    if before.isdigit() and re.fullmatch(r"\s*\(?\d{1,2}(?:\.\d{1,2}){0,5}", text[start:mark][:40]):
         return False  # the number of a list item
     return True
 
 
-def _closer(text: str, at: int, end: int) -> int:
-    """Where the mark opened at ``at`` is closed; -1 for a stray one."""
-    own, wanted = text[at], _PAIRS[text[at]]
-    depth, limit = 0, min(end, at + REACH)
-    if own in "\"”":
-        return text.find(own, at + 1, limit)
-    for k in range(at + 1, limit):
-        ch = text[k]
-        if ch in wanted and depth == 0:
-            return k
-        if ch in wanted:
-            depth -= 1
-        elif ch == own:
-            depth += 1
-    return -1
+def _closers(text: str, start: int, end: int) -> dict[int, int]:
+    """Where each opened mark of a block is closed, by one stack a kind of mark; a stray one is missing."""
+    open_: dict[str, list[int]] = {}
+    closed: dict[int, int] = {}
+    for mark in _OPENS.finditer(text, start, end):
+        ch = mark.group()
+        for own in _CLOSED_BY.get(ch, ()):
+            if open_.get(own):
+                closed[open_[own].pop()] = mark.start()
+            elif own == ch:
+                open_.setdefault(ch, []).append(mark.start())
+        if ch in _PAIRS and ch not in _PAIRS[ch]:
+            open_.setdefault(ch, []).append(mark.start())
+    return closed
 
 
 def _block(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
     """Raw units of one block: a run of lines without a list item or empty line."""
     stack: list[tuple[int, int]] = []  # (closing position, opening position)
+    closers: dict[int, int] | None = None
     begin, skip = start, start
     for mark in _MARK.finditer(text, start, end):
         at, ch = mark.start(), mark.group()[0]
@@ -211,7 +215,11 @@ def _block(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
                     begin = skip = tail
             continue
         if ch in _PAIRS and (ch not in "”»" or ch == "»" and (at + 1 < end and text[at + 1].isalpha())):
-            close = _closer(text, at, end) if not stack or ch not in "\"”" else -1
+            if ch in "\"”":  # the next one closes it
+                close = -1 if stack else text.find(ch, at + 1, end)
+            else:
+                closers = _closers(text, start, end) if closers is None else closers
+                close = closers.get(at, -1)
             if close > at and (not stack or close < stack[-1][0]):
                 stack.append((close, at))
             continue
@@ -229,32 +237,54 @@ def _block(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
         yield begin, end
 
 
+def _goes_on(levels: list[tuple[int, tuple[int, ...]]], path: tuple[int, ...]) -> bool:
+    """Whether a number is the next one, or the first below, of an open list level."""
+    return any(own and path in ((*own[:-1], own[-1] + 1), (*own, 1)) for _, own in levels)
+
+
 def _units(text: str) -> Iterator[tuple[int, int]]:
     at = 0
     for stop in [*_BREAK.finditer(text), None]:
         end = stop.start() if stop else len(text)
-        # within a paragraph, list items are lines of their own
-        line, run = at, at
-        after_item, fresh = False, True
+        # within a paragraph, list items are units of their own; each open level is its indent and number
+        levels: list[tuple[int, tuple[int, ...]]] = []
+        line, run, fresh = at, at, True
+        item, lines = False, 0  # whether the text from `run` on is an item, and its lines so far
         while line < end:
             nl = text.find("\n", line, end)
             nl = end if nl < 0 else nl
-            # a number opens an item only where a line can't be running on
-            if _BULLET.match(text, line, nl) or (fresh or after_item) and _NUMBERED.match(text, line, nl):
+            indent = _INDENT.match(text, line, nl).end()
+            number = _PATH.match(text, line, nl)
+            path = tuple(map(int, number.group(1).split("."))) if number else ()
+            # a number opens an item only where a line can't be running on, or where a list level expects it
+            if _BULLET.match(text, line, nl) or (fresh or item and lines == 1) and _NUMBERED.match(text, line, nl) or path and _goes_on(levels, path):
                 if run < line:
-                    yield from _block(text, run, line)
-                yield line, nl
-                run = nl + 1
-                after_item = True
-            elif after_item:
-                run, after_item = line, False
+                    yield from _item(text, run, line, lines) if item else _block(text, run, line)
+                depth = indent - line
+                while levels and (levels[-1][1] != path[: len(levels[-1][1])] or len(path) == len(levels[-1][1]) if path and levels[-1][1] else levels[-1][0] >= depth):
+                    levels.pop()
+                levels.append((depth, path))
+                run, item, lines = line, True, 1
+            elif item and nl > indent and (indent - line > levels[-1][0] or not fresh and text[indent].islower()):
+                lines += 1  # the item runs on
+            elif item:
+                yield from _item(text, run, line, lines)
+                run, item, levels = line, False, []
             fresh = text[line:nl].rstrip()[-1:] in ".!?:;"
             line = nl + 1
         if run < end:
-            yield from _block(text, run, end)
+            yield from _item(text, run, end, lines) if item else _block(text, run, end)
         at = stop.end() if stop else len(text)
 
 
+def _item(text: str, start: int, end: int, lines: int) -> Iterator[tuple[int, int]]:
+    """An item on one line is one unit; one that is wrapped may hold several sentences."""
+    if lines > 1:
+        yield from _block(text, start, end)
+    else:
+        yield start, end
+
+
 def sentences(text: str) -> list[tuple[int, int]]:
     """(start, end) of every sentence unit, in code points, without outer blanks."""
     out: list[tuple[int, int]] = []
