@@ -5,6 +5,7 @@ import numpy as np
 from textloom.llm.components import connected_components
 from textloom.llm.consensus import consensus
 from textloom.llm import components
+from textloom.llm import consensus as consenting
 from textloom.llm import history as histories
 from textloom.llm.history import History, _described, _two_edits, deduplicate_batches, doi_key, pubmed_key, title_key
 from textloom.llm import names as linking
@@ -61,6 +62,32 @@ def test_consensus(spark):
     assert items.count() == 0 and users.count() == 0
 
 
+def test_consensus_by_joins_is_the_same(spark, monkeypatch):
+    rng = random.Random(15)
+    rows = [(f"u{u}", f"q{i}", f"d{i % 3}", str(rng.choice([i % 4, i % 4, rng.randrange(4)])), 1, 1, 0) for i in range(60) for u in range(5) if rng.random() < 0.8]
+
+    def fitted():
+        items, users = judged(spark, rows)
+        return {(r.queryId, r.documentId): r for r in items.collect()}, {r.userId: r for r in users.collect()}
+
+    items, users = fitted()
+    monkeypatch.setattr(consenting, "MOST_USERS", 0)
+    monkeypatch.setattr(consenting, "AT_ONCE", 7)
+    joined_items, joined_users = fitted()
+    assert items.keys() == joined_items.keys() and users.keys() == joined_users.keys()
+    for k, r in items.items():
+        o = joined_items[k]
+        assert (r.level, r.n_users, r.agreement) == (o.level, o.n_users, o.agreement) and abs(r.confidence - o.confidence) < 1e-9 and abs(r.tilt - o.tilt) < 1e-9
+    for k, r in users.items():
+        assert r.n_items == joined_users[k].n_items and abs(r.reliability - joined_users[k].reliability) < 1e-9 and r.accuracy == joined_users[k].accuracy
+    # hard items tilt: the weights of items follow the number of their answers
+    assert max(r.tilt for r in items.values()) > 0.1
+    monkeypatch.undo()
+    monkeypatch.setattr(consenting, "AT_ONCE", 7)
+    few, _ = fitted()
+    assert all(abs(few[k].confidence - r.confidence) < 1e-9 for k, r in items.items())
+
+
 ARTICLE = "id long, fetch_batch int, pubmed_id string, doi string, title string, held_id int"
 LONG = "Effect of nasal rinsing on cough score in Bellum among 24 twins"
 

@@ -24,7 +24,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_consensus(spark: SparkSession, d: str) -> DataFrame:
-    return _judged(spark, d)[0].select("queryId", "documentId", "level", F.round("confidence", 6).alias("confidence"), F.round("agreement", 6).alias("agreement"), "n_users")
+    return _judged(spark, d)[0].select("queryId", "documentId", "level", F.round("confidence", 6).alias("confidence"), F.round("agreement", 6).alias("agreement"), "n_users", F.round("tilt", 6).alias("tilt"))
 
 
 def p1_reliability(spark: SparkSession, d: str) -> DataFrame:
