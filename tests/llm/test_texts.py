@@ -134,6 +134,25 @@ def test_carried_runs_equal_brute_force():
         assert carries(_hashed(doc), _hashed(passage), 12, diagonals) == brute_carries(doc, passage, 12), (doc, passage)
 
 
+def test_pieces_keep_their_least_size_and_edits_stay_local():
+    rng = random.Random(16)
+    limits = Limits()
+    prose = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) + ("." if rng.random() < 0.08 else "") for _ in range(12_000))
+    solid = "".join(rng.choice("abcdefghijklmnop") for _ in range(60_000))
+    for text in (prose, solid, prose[:1501], solid[:1501], solid[:2700]):
+        pieces = split_text(text, limits)
+        cores = [(c, e) for _, c, e in pieces]
+        assert cores[0][0] == 0 and cores[-1][1] == len(text) and all(a[1] == b[0] for a, b in zip(cores, cores[1:], strict=False))
+        assert all(e - s <= 1500 and c - s <= 150 for s, c, e in pieces)
+        assert all(e - c >= 500 for c, e in cores)
+    for text in (prose, solid):
+        before = {text[c:e] for _, c, e in split_text(text, limits)}
+        for _ in range(10):
+            k = rng.randrange(len(text))
+            after = {(text[:k] + "é" + text[k:])[c:e] for _, c, e in split_text(text[:k] + "é" + text[k:], limits)}
+            assert len(after - before) <= 8, len(after - before)
+
+
 def pieces_of(text):
     return [text[a:b] for a, b in sentences(text)]
 

@@ -2,7 +2,8 @@
 
 A rolling hash over the text marks landmarks that depend only on the characters around them. A cut
 goes to the natural boundary nearest the first landmark after the minimum size, so an edit changes
-the pieces near it and the cuts further on fall where they fell before.
+the pieces near it and the cuts further on fall where they fell before. Landmarks are of two kinds:
+where a window has none of the rare kind, the last one of the frequent kind is taken.
 """
 
 from __future__ import annotations
@@ -19,7 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WINDOW = 32
-LANDMARK_BITS = 6
+LANDMARK_BITS, BACKUP_BITS = 9, 6
+#: How far a cut may be from its landmark for a stronger boundary before a weaker one is taken.
+NEAR = 300
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 #: Natural boundaries, strongest first; the cut falls after the match.
@@ -44,15 +47,15 @@ class Limits:
     least: int = 500
 
     def __post_init__(self) -> None:
-        if not 0 < self.least <= self.most - self.overlap or self.overlap < 0:
-            raise ValueError("the least size must fit beside the overlap")
+        if not 0 < 2 * self.least <= self.most - self.overlap or self.overlap < 0:
+            raise ValueError("the least size must fit twice beside the overlap")
 
 
-def landmarks(text: str) -> np.ndarray:
-    """Ascending positions at which the hash of the WINDOW characters before has its low bits 0."""
+def landmarks(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending positions at which the hash of the WINDOW characters before has its first bits 0: LANDMARK_BITS, and BACKUP_BITS of them."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     if len(codes) < WINDOW:
-        return np.empty(0, dtype=np.int64)
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
     with np.errstate(over="ignore"):
         powers = np.cumprod(np.full(len(codes), _BASE, dtype=np.uint64), dtype=np.uint64)
         sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((codes + np.uint64(1)) * powers, dtype=np.uint64)])
@@ -60,7 +63,8 @@ def landmarks(text: str) -> np.ndarray:
         hashes = (sums[WINDOW:] - sums[:-WINDOW]) * undo[: len(codes) - WINDOW + 1]
         hashes ^= hashes >> np.uint64(31)
         hashes *= np.uint64(0xBF58476D1CE4E5B9)
-    return np.flatnonzero(hashes >> np.uint64(64 - LANDMARK_BITS) == 0) + WINDOW
+    main, backup = (np.flatnonzero(hashes >> np.uint64(64 - bits) == 0) + WINDOW for bits in (LANDMARK_BITS, BACKUP_BITS))
+    return main, backup
 
 
 def _whole(text: str, at: int, low: int) -> int:
@@ -75,27 +79,29 @@ def split_text(text: str, limits: Limits) -> list[tuple[int, int, int]]:
     if len(text) <= limits.most:
         return [(0, 0, len(text))]
     room = limits.most - limits.overlap
-    marks = landmarks(text)
+    marks, backups = landmarks(text)
     natural = [np.fromiter((m.end() for m in p.finditer(text)), dtype=np.int64) for p in _BOUNDARIES]
 
     def within(positions: np.ndarray, low: int, high: int) -> np.ndarray:
         return positions[np.searchsorted(positions, low) : np.searchsorted(positions, high, side="right")]
 
+    def cut_near(aim: int, low: int, high: int) -> int:
+        """The strongest boundary near the landmark, else the strongest there is, else 0."""
+        for reach in (NEAR, high - low):
+            for positions in natural:
+                near = within(positions, max(low, aim - reach), min(high, aim + reach))
+                if len(near):
+                    return int(near[np.abs(near - aim).argmin()])
+        return 0
+
     pieces, core, start = [], 0, 0
     while len(text) - core > room:
         low, high = core + limits.least, core + room
-        found = within(marks, low, high)
-        aim = int(found[0]) if len(found) else (low + high) // 2
-        cut = 0
-        for k, positions in enumerate(natural):
-            near = within(positions, low, high)
-            if len(near):
-                best = int(near[np.abs(near - aim).argmin()])
-                # paragraphs may be far from the landmark, sentences too; weaker places are the last resort
-                if k >= 2 or abs(best - aim) <= (300 if k == 0 else room):
-                    cut = best
-                    break
-        cut = cut or _whole(text, high, low)
+        if len(text) - high < limits.least:  # so that the last piece has the least size, too
+            high = max(low, len(text) - limits.least)
+        main, backup = within(marks, low, high), within(backups, low, high)
+        aim = int(main[0]) if len(main) else int(backup[-1]) if len(backup) else high
+        cut = cut_near(aim, low, high) or _whole(text, aim, low)
         pieces.append((start, core, cut))
         low = max(cut - limits.overlap, core)
         # the overlap begins at a sentence if one begins there, else at a word, else it is cut hard
@@ -113,7 +119,8 @@ def split_oversized(df: DataFrame, keys: list[str], text: str, limits: Limits =
     Offsets are code points; ``piece`` counts from 1. A piece shares its characters from
     ``start_char`` to ``core_start`` with the one before. Texts within the limit, empty and null
     ones give no rows: they need no cut. Repeated rows give repeated pieces. Texts are cut whole;
-    one without any blank is cut at the limit, never between a character and its marks.
+    one without any blank is cut at its landmarks, never between a character and its marks. The
+    least size holds for what a piece doesn't share with the one before, the last one included.
     """
     source = df.select(*(F.col(f"`{k}`").alias(k) for k in keys), F.col(f"`{text}`").cast("string").alias("__text")).filter(F.length("__text") > limits.most)
     schema = T.StructType(
