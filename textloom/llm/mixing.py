@@ -39,8 +39,8 @@ def token_counter(ranks_path: str, pattern: str):
 
 
 def source_name(source: Column) -> Column:
-    """Sources as typed differ in case, blanks and hyphens."""
-    return F.regexp_replace(F.lower(F.trim(source)), "[\\s-]+", "_")
+    """Sources as typed differ in case, blanks and hyphens; documents and targets are read alike."""
+    return F.regexp_replace(F.lower(F.regexp_replace(source, "^\\s+|\\s+$", "")), "[\\s-]+", "_")
 
 
 def quotas(total: float, shares: dict[str, float], sizes: dict[str, int], repeats: dict[str, int]) -> dict[str, float]:
@@ -62,7 +62,8 @@ def quotas(total: float, shares: dict[str, float], sizes: dict[str, int], repeat
 def mix_sources(documents: DataFrame, targets: DataFrame, doc_id: str, text: str, source: str, counter, budget: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The mixture (``doc_id, source, n_tokens, copies``) and the report by source.
 
-    ``targets`` has ``source, target_share, max_repeats``. ``budget`` is the size of the mixture in
+    ``targets`` has ``source, target_share, max_repeats``; rows of one source add their shares, and
+    the largest ``max_repeats`` holds. ``budget`` is the size of the mixture in
     tokens; without it, it is what all listed sources hold once. A source short of its share gives
     ``max_repeats`` copies of everything, and the others share the rest by their weights. Documents
     of no listed source, and null and empty texts, are not part of the mixture. Documents with the
@@ -72,16 +73,16 @@ def mix_sources(documents: DataFrame, targets: DataFrame, doc_id: str, text: str
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "mix")
-    wanted = [r.asDict() for r in targets.select("source", "target_share", "max_repeats").limit(MOST_SOURCES + 1).collect()]
+    wanted = [r.asDict() for r in targets.select(source_name(F.col("source")).alias("source"), "target_share", "max_repeats").limit(MOST_SOURCES + 1).collect()]
     if len(wanted) > MOST_SOURCES:
         raise ValueError("too many sources in the targets")
     shares: dict[str, float] = {}
     repeats: dict[str, int] = {}
     for row in wanted:
-        name = (row["source"] or "").strip()
+        name = row["source"]
         if name:
             shares[name] = shares.get(name, 0.0) + float(row["target_share"] or 0)
-            repeats[name] = int(row["max_repeats"] or 0)
+            repeats[name] = max(repeats.get(name, 0), int(row["max_repeats"] or 0))
     schema = "source string, target_share double, max_repeats int"
     listed = spark.createDataFrame([(s, shares[s], repeats[s]) for s in sorted(shares)], schema)
     sizes_df = (
