@@ -1,8 +1,9 @@
 """The N best items of every group, by descending score bands.
 
-Bands are cut at quantiles of the score and processed from the top: rows of groups that are
-already filled are dropped by an anti-join before anything is shuffled for them, and the band in
-which a group fills up is finished by exact ranking of its ties.
+Bands are ranges of the score, processed from the top: rows of groups that are already filled are
+dropped by an anti-join before anything is shuffled for them, and the band in which a group fills
+up is finished by exact ranking of its ties. The first band holds about as many rows as fill all
+groups, the next one half of what is left; a band in which no score can lie is left out.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ HOT_SHARE = 0.001
 SALTS = 32
 
 
-def top_n_per_group(df: DataFrame, group: str, item: str, score: str, n: int, quantiles: tuple[float, ...] = (0.7, 0.4)) -> DataFrame:
+def top_n_per_group(df: DataFrame, group: str, item: str, score: str, n: int) -> DataFrame:
     """Columns ``group, item, score, rank`` (1 to ``n``), named like the input's columns.
 
     An item counts once per group, with its highest score. The order is score descending, then
@@ -32,8 +33,11 @@ def top_n_per_group(df: DataFrame, group: str, item: str, score: str, n: int, qu
     scratch = Scratch(spark, "topn")
     rows = df.select(F.col(f"`{group}`").alias("g"), F.col(f"`{item}`").alias("i"), F.col(f"`{score}`").alias("s")).dropna()
 
-    total, cuts = rows.agg(F.count("*"), F.percentile_approx("s", [float(q) for q in quantiles], 10000)).first()
-    bounds = sorted(set(cuts or []), reverse=True)
+    shares = [k / 100 for k in range(1, 100)]
+    total, groups, least, cuts = rows.agg(F.count("*"), F.approx_count_distinct("g"), F.min("s"), F.percentile_approx("s", shares, 10000)).first()
+    above = 1 - min(1.0, n * groups / max(total, 1))
+    bounds = sorted({cuts[int(100 * q) - 1] for q in (above, above / 2) if q >= 0.01} if cuts else (), reverse=True)
+    bounds = [b for b in bounds if b > least]
     hot = F.broadcast(scratch.write(rows.groupBy("g").count().filter(F.col("count") >= max(total * HOT_SHARE, 10 * SALTS)).select("g"), "hot"))
     rows = rows.join(hot.withColumn("h", F.lit(True)), "g", "left").withColumn("salt", F.when(F.col("h"), F.pmod(F.xxhash64("i"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")).drop("h")
 
