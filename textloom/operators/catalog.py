@@ -36,8 +36,8 @@ def first_column(spark: SparkSession, sql: str) -> DataFrame:
     return df.select(F.coalesce(F.col(f"`{df.columns[0]}`").cast("string"), F.lit("None")).alias("value"))
 
 
-def ensure_rows(spark: SparkSession, name: str, schema: str, rows: list[tuple]) -> DataFrame:
-    """Create a table if there is none, insert the rows, and list the tables."""
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet")
-    spark.createDataFrame(rows, schema).write.insertInto(name)
+def ensure_rows(spark: SparkSession, name: str, schema: str, rows: list[tuple] | DataFrame, path: str | None = None) -> DataFrame:
+    """Create a table if there is none, insert the rows, and list the tables; ``path`` is where its files lie."""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet" + (f" LOCATION '{path}'" if path else ""))
+    (rows if isinstance(rows, DataFrame) else spark.createDataFrame(rows, schema)).write.insertInto(name)
     return spark.sql("SHOW TABLES").select("tableName")

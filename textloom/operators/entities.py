@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Terms of a vocabulary that texts are searched for.
+MOST_TERMS = 100_000
+
+
 def merge_word_pieces(pieces: DataFrame, doc: str = "doc_id") -> DataFrame:
     """``doc, entity, score, index, word, start, end``: pieces that start with ``##`` join the word before.
 
@@ -30,8 +34,10 @@ def merge_word_pieces(pieces: DataFrame, doc: str = "doc_id") -> DataFrame:
 def contains_any(rows: DataFrame, text: str, vocabulary: DataFrame, term: str) -> DataFrame:
     """Rows with each vocabulary term their text contains, whatever the case.
 
-    The vocabulary is a stated list; rows are read once against all of it.
+    The vocabulary is a stated list of at most ``MOST_TERMS``; rows are read once against all of it.
     """
+    if vocabulary.limit(MOST_TERMS + 1).count() > MOST_TERMS:
+        raise ValueError(f"a vocabulary of more than {MOST_TERMS} terms is no stated list")
     return rows.join(F.broadcast(vocabulary), F.lower(F.col(text)).contains(F.lower(F.col(term))))
 
 
@@ -45,16 +51,9 @@ def sentence_numbers(tokens: DataFrame, order: Column, index: str) -> DataFrame:
 def tagged(texts: DataFrame, key: str, text: str, vocabulary: dict[str, str]) -> DataFrame:
     """``key, token, entity``: every word with its vocabulary label or ``No entity``."""
 
-    def tag(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-
-        for frame in frames:
-            yield pd.DataFrame(
-                [(k, w, vocabulary.get(w.lower(), "No entity")) for k, body in frame.itertuples(index=False, name=None) for w in re.findall(r"\w+", body or "")],
-                columns=["key", "token", "entity"],
-            )
-
-    return texts.select(F.col(key).cast("string").alias("key"), F.col(text)).mapInPandas(tag, "key string, token string, entity string")
+    labels = F.create_map(*(F.lit(x) for pair in vocabulary.items() for x in pair)) if vocabulary else F.lit(None).cast("map<string,string>")
+    tokens = texts.select(F.col(key).cast("string").alias("key"), F.explode(F.regexp_extract_all(F.col(text), F.lit("[\\p{L}\\p{N}_]+"), F.lit(0))).alias("token"))
+    return tokens.select("key", "token", F.coalesce(F.element_at(labels, F.lower("token")), F.lit("No entity")).alias("entity"))
 
 
 def noun_phrases(tokens: Column, tags: Column) -> Column:

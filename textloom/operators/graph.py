@@ -7,9 +7,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions.text import words
+from textloom.plans.order import met, numbered
 from textloom.plans.scratch import Scratch
 
 
@@ -31,11 +33,11 @@ def contextual_proximity(edges: DataFrame, with_chunks: bool = False) -> DataFra
     the self-join, so it meets each pair of labels once a chunk. Pairs seen once are dropped.
     """
     nodes = melted(edges).dropna(subset=["chunk_id", "node"]).groupBy("chunk_id", "node").agg(F.count("*").alias("m"))
-    left = nodes.select("chunk_id", F.col("node").alias("node_1"), F.col("m").alias("m1"))
-    pairs = left.join(nodes.select("chunk_id", F.col("node").alias("node_2"), F.col("m").alias("m2")), "chunk_id").filter("node_1 <> node_2")
+    pairs = met(nodes, "chunk_id", {"node": "node_1", "m": "m1"}, {"node": "node_2", "m": "m2"}).filter("node_1 <> node_2")
     counts = [F.sum(F.col("m1") * F.col("m2")).alias("count")]
-    if with_chunks:
-        counts.append(F.array_join(F.sort_array(F.flatten(F.collect_list(F.array_repeat("chunk_id", (F.col("m1") * F.col("m2")).cast("int"))))), ",").alias("chunk_id"))
+    if with_chunks:  # ids travel once with their number, and are repeated at the end
+        listed = F.sort_array(F.collect_list(F.struct("chunk_id", (F.col("m1") * F.col("m2")).cast("int").alias("times"))))
+        counts.append(F.array_join(F.flatten(F.transform(listed, lambda s: F.array_repeat(s.chunk_id, s.times))), ",").alias("chunk_id"))
     return pairs.groupBy("node_1", "node_2").agg(*counts).filter("count <> 1").withColumn("edge", F.lit("contextual proximity"))
 
 
@@ -58,9 +60,7 @@ def degrees(graph: DataFrame) -> DataFrame:
 
 def pairs_in_lists(items: DataFrame, key: str, place: str, item: str) -> DataFrame:
     """``key, source, target``: every two items of a list, the earlier first."""
-    a = items.select(key, F.col(place).alias("__p"), F.col(item).alias("source"))
-    b = items.select(key, F.col(place).alias("__q"), F.col(item).alias("target"))
-    return a.join(b, key).filter("__p < __q").select(key, "source", "target")
+    return met(items.select(key, place, item), key, {place: "__p", item: "source"}, {place: "__q", item: "target"}).filter("__p < __q").select(key, "source", "target")
 
 
 def weighted(pairs: DataFrame, directed: bool = True) -> DataFrame:
@@ -72,7 +72,7 @@ def weighted(pairs: DataFrame, directed: bool = True) -> DataFrame:
 
 def numbered_nodes(names: DataFrame, name: str) -> DataFrame:
     """``id, label``: numbers from 0 in the order of the names."""
-    return names.select(F.col(name).alias("label")).dropna().distinct().withColumn("id", (F.row_number().over(Window.orderBy("label")) - 1).cast("int"))
+    return numbered(names.select(F.col(name).alias("label")).dropna().distinct(), [F.col("label")], "id", 0).withColumn("id", F.col("id").cast("int"))
 
 
 def heaviest(edges: DataFrame, n: int) -> DataFrame:
@@ -230,7 +230,7 @@ def communities(graph: DataFrame, splits: int = 2, most_edges: int = 10_000) ->
         parts = split_component(list(zip(edges.src, edges.dst, strict=True)), splits, _flows_in_tasks(spark))
         large += [(n, min(p)) for p in parts for n in p]
     found = small.unionByName(spark.createDataFrame(pd.DataFrame(large, columns=["node", "least"]), "node string, least string")) if large else small
-    number = found.select("least").distinct().withColumn("community", F.row_number().over(Window.orderBy("least")))
+    number = numbered(found.select("least").distinct(), [F.col("least")], "community").withColumn("community", F.col("community").cast("int"))
     return found.join(number, "least").select("node", "community")
 
 
@@ -242,15 +242,7 @@ def community_lists(found: DataFrame) -> DataFrame:
 def entity_heads(texts: DataFrame, doc: str, text: str, vocabulary: list[str]) -> DataFrame:
     """``doc, entity, head``: words of a vocabulary with the word before them, each pair once a document."""
 
-    def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-
-        known = set(vocabulary)
-        for frame in frames:
-            rows = set()
-            for key, body in frame.itertuples(index=False, name=None):
-                tokens = re.findall(r"\w+", (body or "").lower())
-                rows |= {(key, b, a) for a, b in zip(tokens, tokens[1:], strict=False) if b in known}
-            yield pd.DataFrame(sorted(rows), columns=["doc", "entity", "head"])
-
-    return texts.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")).mapInPandas(pairs, "doc long, entity string, head string").distinct()
+    w = words(F.col(text))
+    rows = texts.select(F.col(doc).cast("long").alias("doc"), w.alias("w")).filter(F.size("w") > 1)
+    pairs = F.filter(F.arrays_zip(F.slice("w", 2, F.size("w") - 1).alias("entity"), F.slice("w", 1, F.size("w") - 1).alias("head")), lambda p: p["entity"].isin(vocabulary))
+    return rows.select("doc", F.inline(pairs)).toDF("doc", "entity", "head").distinct()

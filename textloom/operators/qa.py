@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.text import exact_match, token_f1
+from textloom.plans.order import numbered
 
 
 def with_query_text(answers: DataFrame, tuples: DataFrame) -> DataFrame:
@@ -39,9 +40,9 @@ def answer_scores(gold: DataFrame, predicted: DataFrame, key: str, answer: str,
     as the shorter list goes.
     """
     if positional:
-        place = F.row_number().over(Window.orderBy(order or key))  # a place in one list is global by nature
-        left = gold.select(place.alias("__n"), F.col(key), F.col(answer).alias("gold"))
-        right = predicted.select(place.alias("__n"), F.col(answer).alias("predicted"))
+        by = [F.col(order or key)]
+        left = numbered(gold, by, "__n").select("__n", F.col(key), F.col(answer).alias("gold"))
+        right = numbered(predicted, by, "__n").select("__n", F.col(answer).alias("predicted"))
         pairs = left.join(right, "__n").drop("__n")
     else:
         pairs = gold.select(key, F.col(answer).alias("gold")).join(predicted.select(key, F.col(answer).alias("predicted")), key)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.plans.order import running
+
 CUTOFFS = (10, 20, 1000)
 GAIN_CUTOFFS = (3, 5, 10, 20, 1000)
 MAP_CUTOFF = 1000
@@ -12,14 +14,14 @@ MAP_CUTOFF = 1000
 
 def ranked(scores: DataFrame) -> DataFrame:
     """``qid, docid, rank`` from ``qid, docid, score, ord``: score descending, then order of arrival."""
-    order = Window.partitionBy("qid").orderBy(F.col("score").desc(), "ord")
-    return scores.select("qid", "docid", F.row_number().over(order).alias("rank"))
+    rows = running(scores.select("qid", "docid", "score", "ord"), ["qid"], [F.col("score").desc(), F.col("ord")], F.lit(1), "rank")
+    return rows.select("qid", "docid", F.col("rank").cast("int").alias("rank"))
 
 
 def hits(ranking: DataFrame, qrels: DataFrame, binary_from: float = 1.0) -> DataFrame:
     """The ranking's judged documents with grade, binary relevance and running number of binary hits."""
     joined = ranking.join(qrels, ["qid", "docid"]).withColumn("relevant", (F.col("grade") >= binary_from).cast("int"))
-    return joined.withColumn("nth", F.sum("relevant").over(Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)))
+    return running(joined, ["qid"], [F.col("rank")], F.col("relevant"), "nth")
 
 
 def per_query(ranking: DataFrame, qrels: DataFrame, binary_from: float = 1.0) -> DataFrame:
@@ -36,12 +38,11 @@ def per_query(ranking: DataFrame, qrels: DataFrame, binary_from: float = 1.0) ->
         *(F.sum(F.when((F.col("relevant") == 1) & (F.col("rank") <= k), 1).otherwise(0)).alias(f"found_{k}") for k in CUTOFFS),
         *(F.sum(F.when(F.col("rank") <= k, gain).otherwise(0.0)).alias(f"dcg_{k}") for k in GAIN_CUTOFFS),
     )
-    placed = qrels.withColumn("at", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("grade").desc(), "docid")))
+    # only the first places count for the gain, so each task passes on no more of a query than these
+    placed = qrels.withColumn("at", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("grade").desc(), "docid"))).filter(F.col("at") <= max(GAIN_CUTOFFS))
     best = F.col("grade") / F.log2(1.0 + F.col("at"))
-    ideal = placed.groupBy("qid").agg(
-        F.sum((F.col("grade") >= binary_from).cast("int")).alias("n_relevant"),
-        *(F.sum(F.when(F.col("at") <= k, best).otherwise(0.0)).alias(f"idcg_{k}") for k in GAIN_CUTOFFS),
-    )
+    gains = placed.groupBy("qid").agg(*(F.sum(F.when(F.col("at") <= k, best).otherwise(0.0)).alias(f"idcg_{k}") for k in GAIN_CUTOFFS))
+    ideal = qrels.groupBy("qid").agg(F.sum((F.col("grade") >= binary_from).cast("int")).alias("n_relevant")).join(gains, "qid")
     rows = ranking.select("qid").distinct().join(ideal, "qid", "left").join(per, "qid", "left")
     zero = F.lit(0.0)
     return rows.select(
@@ -88,5 +89,7 @@ def top_document(ranking: DataFrame) -> DataFrame:
 def most_relevant(rows: DataFrame, query: str, document: str, relevance: str, seed: int | None = None) -> DataFrame:
     """One most relevant row per query. Ties go to the least document id, or with a seed to the least hash: a reproducible draw."""
     tie = F.col(document) if seed is None else F.xxhash64(F.col(document), F.lit(seed))
-    order = Window.partitionBy(query).orderBy(F.col(relevance).desc_nulls_last(), tie.asc_nulls_last(), F.col(document))
-    return rows.withColumn("__at", F.row_number().over(order)).filter("__at = 1").drop("__at")
+    first = [F.col(relevance).isNull(), -F.col(relevance), tie.isNull(), tie, F.col(document)]
+    key = F.struct(*(c.alias(f"k{i}") for i, c in enumerate(first)), F.struct(*rows.columns).alias("row"))
+    # the least of a group is combined map-side, so a query with many rows needs no task of its own
+    return rows.groupBy(F.col(query).alias("__query")).agg(F.min(key).alias("best")).select("best.row.*")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import blank_tokens
 from textloom.functions.vectors import cosine
+from textloom.plans.order import numbered
 
 
 def shares(topics: DataFrame, count: str = "Count", topic: str = "Topic") -> DataFrame:
@@ -124,7 +125,7 @@ def window_coherence(topics: DataFrame, texts: DataFrame, doc: str, text: str, s
     return pairs.groupBy("topic").agg(F.avg(value).alias("coherence"))
 
 
-def bag_of_words(texts: DataFrame, tokens: str, min_docs: int = 1, most: int = 1 << 18):
+def bag_of_words(texts: DataFrame, tokens: str, min_docs: int = 1, most: int = 2**31 - 1):
     from pyspark.ml.feature import CountVectorizer
 
     model = CountVectorizer(inputCol=tokens, outputCol="features", minDF=float(min_docs), vocabSize=most).fit(texts)
@@ -150,8 +151,8 @@ def lsa_topics(texts: DataFrame, tokens: str, k: int = 2, words: int = 5) -> Dat
     from pyspark.mllib.linalg import Vectors
     from pyspark.mllib.linalg.distributed import RowMatrix
 
-    counts, bags = bag_of_words(texts, tokens, most=2**31 - 1)
-    # every iteration reads the rows
+    counts, bags = bag_of_words(texts, tokens)
+    # the matrix type takes an RDD only; every iteration reads the rows
     rows = bags.select("features").rdd.map(lambda r: Vectors.fromML(r[0])).persist(StorageLevel.MEMORY_AND_DISK)
     v = np.asarray(RowMatrix(rows).computeSVD(k).V.toArray())
     rows.unpersist()
@@ -162,11 +163,11 @@ def lsa_topics(texts: DataFrame, tokens: str, k: int = 2, words: int = 5) -> Dat
 
 def nmf_topics(texts: DataFrame, doc: str, tokens: str, k: int = 2, words: int = 5, seed: int = 42, rounds: int = 10) -> DataFrame:
     """``topic, place, word, weight`` by non-negative alternating least squares on the counts."""
-    from pyspark.ml.feature import StringIndexer
     from pyspark.ml.recommendation import ALS
 
     cells = texts.select(F.col(doc).alias("doc"), F.explode(tokens).alias("word")).groupBy("doc", "word").agg(F.count("*").cast("float").alias("n"))
-    cells = StringIndexer(inputCol="word", outputCol="w").fit(cells).transform(cells).withColumn("w", F.col("w").cast("int")).withColumn("d", F.dense_rank().over(Window.orderBy("doc")).cast("int"))
+    for name, number in (("word", "w"), ("doc", "d")):
+        cells = cells.join(numbered(cells.select(name).distinct(), [F.col(name)], number).withColumn(number, F.col(number).cast("int")), name)
     model = ALS(rank=k, maxIter=rounds, seed=seed, nonnegative=True, userCol="d", itemCol="w", ratingCol="n").fit(cells)
     names = cells.select(F.col("w").alias("id"), "word").distinct()
     weights = model.itemFactors.join(names, "id").select("word", F.posexplode("features").alias("topic", "weight"))

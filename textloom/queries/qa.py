@@ -119,11 +119,11 @@ SELECT x.n AS n, x.relevance AS gold, y.level AS predicted FROM a x
 JOIN (SELECT o_shippriority AS level, row_number() OVER (ORDER BY o_shippriority) AS n FROM (SELECT CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS o_shippriority FROM orders)) y USING (n)""")
 def jn7_positional_join(spark: SparkSession, d: str) -> DataFrame:
     """Two lists joined by place, as far as the shorter goes."""
-    from pyspark.sql import Window
+    from textloom.plans.order import numbered
 
-    left = table(spark, d, "qa_tuples", F.col("relevance").alias("gold")).dropna().select("gold", F.row_number().over(Window.orderBy("gold")).cast("long").alias("n"))
+    left = numbered(table(spark, d, "qa_tuples", F.col("relevance").alias("gold")).dropna(), [F.col("gold")])
     level = table(spark, d, "orders", F.substring("o_orderpriority", 1, 1).cast("int").alias("predicted"))
-    return left.join(level.select("predicted", F.row_number().over(Window.orderBy("predicted")).cast("long").alias("n")), "n")
+    return left.join(numbered(level, [F.col("predicted")]), "n")
 
 
 @query("""SELECT x, CAST(count(*) AS BIGINT) AS n FROM (SELECT event_type AS x FROM events WHERE user_id % 2 = 0 INTERSECT ALL SELECT event_type FROM events WHERE user_id % 2 = 1) GROUP BY 1""")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.plans.order import numbered
+
 JUDGEMENTS = "userId string, queryId string, documentId string, relevanceLevel string"
 QA_TUPLES = "queryid string, documentid string, relevance int, query_text string, document_text string, text_selection string"
 TRIPLES = "query string, doc_pos string, doc_neg string"
@@ -13,15 +15,26 @@ LABELED = "query_id string, doc_id string, query string, doc string"
 ARTICLES = "id long, pubmed_id string, title string, publication_date string, journal string, abstract string, conclusions string, methods string, results string, copyrights string, doi string, authors string"
 
 
-def read_delimited(spark: SparkSession, path: str, schema: str, sep: str = "\t", header: bool = False, columns: list[str] | None = None, quote: str = '"') -> DataFrame:
-    """A delimited file; a row that doesn't fit the schema fails the job. Projection reaches the scan."""
+def read_delimited(spark: SparkSession, path: str, schema: str, sep: str = "\t", header: bool = False, columns: list[str] | None = None, quote: str = '"', escaped: bool = False) -> DataFrame:
+    """A delimited file; a row that doesn't fit the schema fails the job. Projection reaches the scan.
+
+    ``escaped`` reads line ends and backslashes as ``write_delimited`` escapes them.
+    """
     df = spark.read.csv(path, schema=schema, sep=sep, header=header, quote=quote, escape='"', mode="FAILFAST", enforceSchema=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return df.withColumns({f.name: _unescaped(F.col(f"`{f.name}`")) for f in df.schema if f.dataType == T.StringType()}) if escaped else df
+
+
+def _unescaped(text):  # noqa: ANN001, ANN202
+    for letter, mark in (("n", "\n"), ("r", "\r")):  # after an even number of backslashes
+        text = F.regexp_replace(text, f"(?<!\\\\)((?:\\\\\\\\)*)\\\\{letter}", f"$1{mark}")
+    return F.replace(text, F.lit("\\\\"), F.lit("\\"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``line_no, value``: lines with increasing numbers in file order."""
-    return spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
+    """``line_no, value``: lines with their place, which sorts by file name, then by place in the file."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.text(path).select(place.alias("line_no"), "value")
 
 
 def _fields(lines: DataFrame) -> DataFrame:
@@ -80,7 +93,7 @@ def read_vectors(spark: SparkSession, path: str, width: int) -> DataFrame:
     """``token, id, vector`` from lines of a token and its numbers; ids from 1, 0 is for padding."""
     rows = read_lines(spark, path).withColumn("f", F.split("value", " "))
     vector = F.transform(F.slice("f", 2, width), lambda x: x.cast("float"))
-    return rows.select(F.get("f", F.lit(0)).alias("token"), F.row_number().over(Window.orderBy("line_no")).alias("id"), vector.alias("vector"))
+    return numbered(rows.select("line_no", F.get("f", F.lit(0)).alias("token"), vector.alias("vector")), [F.col("line_no")], "id").select("token", F.col("id").cast("int").alias("id"), "vector")
 
 
 def read_sqlite(spark: SparkSession, path: str, sql: str, schema: str) -> DataFrame:

@@ -13,7 +13,17 @@ def write_spaced(df: DataFrame, path: str) -> None:
     df.select(F.concat_ws(" ", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("null")) for c in df.columns)).alias("value")).write.mode("overwrite").text(path)
 
 
-def write_delimited(df: DataFrame, path: str, sep: str = ",", header: bool = True) -> None:
+def write_delimited(df: DataFrame, path: str, sep: str = ",", header: bool = True, escaped: bool = False) -> None:
+    """Quoted where needed; nulls are empty, empty texts are quoted.
+
+    ``escaped`` writes line ends as ``\\n`` and ``\\r``, so every row stays on one line and the files
+    can be split; ``read_delimited`` undoes it.
+    """
+    if escaped:
+        text = {c: F.col(f"`{c}`") for c, kind in df.dtypes if kind == "string"}
+        for old, new in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")):
+            text = {c: F.replace(x, F.lit(old), F.lit(new)) for c, x in text.items()}
+        df = df.withColumns(text)
     df.write.mode("overwrite").csv(path, sep=sep, header=header, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
@@ -22,12 +32,36 @@ def append_by_term(df: DataFrame, path: str, term: str) -> None:
     df.withColumn("search_term", F.lit(term)).write.mode("append").partitionBy("search_term").parquet(path)
 
 
-def replace_table(df: DataFrame, name: str) -> DataFrame:
-    """Replace a table and read it back."""
-    df.write.mode("overwrite").saveAsTable(name)
+def replace_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Replace a table and read it back; ``path`` is where its files lie, else they go to the warehouse."""
+    writer = df.write.mode("overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
     return df.sparkSession.table(name)
 
 
+def write_sqlite(df: DataFrame, path: str, table: str) -> None:
+    """One SQLite file with one table, written by the one task that such a file allows, row by row as they arrive."""
+    columns = ", ".join(f'"{c}"' for c in df.columns)
+    marks = ", ".join("?" for _ in df.columns)
+
+    def store(frames):  # noqa: ANN001, ANN202
+        import sqlite3
+
+        import pandas as pd
+
+        n = 0
+        with sqlite3.connect(path) as connection:
+            connection.execute(f'DROP TABLE IF EXISTS "{table}"')
+            connection.execute(f'CREATE TABLE "{table}" ({columns})')
+            for frame in frames:
+                rows = frame.astype(object).where(frame.notna(), None).itertuples(index=False, name=None)
+                connection.executemany(f'INSERT INTO "{table}" VALUES ({marks})', rows)
+                n += len(frame)
+        yield pd.DataFrame({"n": [n]})
+
+    df.coalesce(1).mapInPandas(store, "n long").collect()
+
+
 def property_graph(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Vertices, each once, and edges of a property graph; all rows of the input."""
     ends = edges.select(F.col("node_1").alias("node"), "chunk_id").unionByName(edges.select(F.col("node_2").alias("node"), "chunk_id"))
