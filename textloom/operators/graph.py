@@ -230,8 +230,14 @@ def communities(graph: DataFrame, splits: int = 2, most_edges: int = 10_000) ->
         parts = split_component(list(zip(edges.src, edges.dst, strict=True)), splits, _flows_in_tasks(spark))
         large += [(n, min(p)) for p in parts for n in p]
     found = small.unionByName(spark.createDataFrame(pd.DataFrame(large, columns=["node", "least"]), "node string, least string")) if large else small
-    number = numbered(found.select("least").distinct(), [F.col("least")], "community").withColumn("community", F.col("community").cast("int"))
-    return found.join(number, "least").select("node", "community")
+    return numbered_communities(found, "least")
+
+
+def numbered_communities(found: DataFrame, group: str) -> DataFrame:
+    """``node, community``: groups numbered from 1 in the order of their least nodes."""
+    least = found.groupBy(group).agg(F.min("node").alias("least"))
+    number = numbered(least, [F.col("least")], "community").select(group, F.col("community").cast("int").alias("community"))
+    return found.join(number, group).select("node", "community")
 
 
 def community_lists(found: DataFrame) -> DataFrame:

@@ -11,28 +11,33 @@ from textloom.operators.packed import NAMES, split_packed
 from textloom.plans.session import table
 from textloom.registry import query
 
-_PIECES = """pieces AS (SELECT user_id AS doc_id, event_type AS entity, round(value, 4) AS score, CAST(event_id AS INTEGER) AS index, CAST(event_id AS INTEGER) * 10 AS start, CAST(event_id AS INTEGER) * 10 + 5 AS stop,
-  CASE WHEN event_id % 3 = 0 THEN event_type ELSE '##' || substr(event_type, 1, 2) END AS word FROM events)"""
+# the words of all texts in pieces of five letters, as a word-piece tokenizer leaves them; each text's first word has lost its beginning
+_PIECES = r"""tokens AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+words AS (SELECT doc_id, unnest(range(0, len(w))) AS spot, unnest(w) AS word FROM tokens),
+merged AS (SELECT doc_id, CASE WHEN regexp_matches(word, '^\p{Lu}') THEN 'UPPER' WHEN regexp_matches(word, '^\p{N}') THEN 'NUMBER' ELSE 'WORD' END AS entity, round(1.0 / ((length(word) + 4) // 5), 4) AS score,
+CAST(spot * 1000 AS INTEGER) AS index, word, CAST(spot * 1000 AS INTEGER) AS start, CAST(spot * 1000 + (length(word) + 4) // 5 AS INTEGER) AS "end" FROM words WHERE spot > 0)"""
 
 
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
-    n = F.col("event_id").cast("int")
-    return table(spark, d, "events", "user_id", "event_type", "value", "event_id").select(
-        F.col("user_id").alias("doc_id"), F.col("event_type").alias("entity"), F.round("value", 4).alias("score"), n.alias("index"), (n * 10).alias("start"), (n * 10 + 5).alias("end"),
-        F.when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise(F.concat(F.lit("##"), F.substring("event_type", 1, 2))).alias("word"),
+    words = table(spark, d, "documents", "doc_id", "text").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[\\p{L}\\p{N}]+"), F.lit(0))).alias("at", "word"))
+    kind = F.when(F.col("word").rlike("^\\p{Lu}"), "UPPER").when(F.col("word").rlike("^\\p{N}"), "NUMBER").otherwise("WORD")
+    pieces = words.select("doc_id", "at", "word", kind.alias("kind"), F.explode(F.sequence(F.lit(0), F.floor((F.length("word") - 1) / 5).cast("int"))).alias("j"))
+    n = (F.col("at") * 1000 + F.col("j")).cast("int")
+    part = F.substring("word", F.col("j") * 5 + 1, F.lit(5))
+    return pieces.select(
+        "doc_id", F.when(F.col("j") == 0, F.col("kind")).otherwise("PIECE").alias("entity"), F.round(1.0 / (F.col("j") + 1), 4).alias("score"), n.alias("index"), n.alias("start"), (n + 1).alias("end"),
+        F.when((F.col("j") == 0) & (F.col("at") > 0), part).otherwise(F.concat(F.lit("##"), part)).alias("word"),
     )
 
 
-@query(f"""WITH {_PIECES}, islands AS (SELECT *, sum(CAST(NOT starts_with(word, '##') AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY index ROWS UNBOUNDED PRECEDING) AS island FROM pieces)
-SELECT doc_id, arg_min(entity, index) AS entity, min(score) AS score, min(index) AS index, string_agg(CASE WHEN starts_with(word, '##') THEN substr(word, 3) ELSE word END, '' ORDER BY index) AS word,
-arg_min(start, index) AS start, arg_max(stop, index) AS "end" FROM islands WHERE island > 0 GROUP BY doc_id, island""")
+@query(f"WITH {_PIECES} SELECT * FROM merged")
 def wn3_ag22_word_pieces(spark: SparkSession, d: str) -> DataFrame:
     return E.merge_word_pieces(_pieces(spark, d))
 
 
-@query("SELECT event_type AS entity, count(*) AS n FROM events GROUP BY 1")
+@query(f"WITH {_PIECES} SELECT entity, count(*) AS n FROM merged GROUP BY 1")
 def ag8_entity_counts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events", F.col("event_type").alias("entity")).groupBy("entity").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "entity")
+    return wn3_ag22_word_pieces(spark, d).groupBy("entity").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "entity")
 
 
 @query("SELECT event_id, event_type FROM events WHERE event_type = 'click'")
@@ -143,13 +148,15 @@ def sf26_sf28_defaults_ratios(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", F.coalesce("journal", F.lit("None")).alias("journal"), F.round(F.try_divide(100.0 * F.length("title"), F.length("abstract")), 6).alias("percent"))
 
 
-_TREE = "'(S (NP (NNP ' || c_mktsegment || ')) (VP (VBZ sells) (NP (NNS parts))))'"
+# a tree a triple: labels of one word are common nouns, longer ones end in a plural, and edges are verbs
+_NP = "CASE WHEN {0} IS NULL THEN '' WHEN instr({0}, ' ') = 0 THEN '(NP (NN ' || {0} || '))' ELSE '(NP (NNP ' || split_part({0}, ' ', 1) || ') (NNS ' || replace({0}, split_part({0}, ' ', 1) || ' ', '') || '))' END"
+_TREE = f"'(S ' || {_NP.format('node_1')} || ' (VP (VBZ ' || coalesce(edge, '') || ') ' || {_NP.format('node_2')} || '))'"
 
 
-@query(f"SELECT c_custkey, c_mktsegment || ' parts' AS nouns FROM (SELECT c_custkey, c_mktsegment, {_TREE} AS tree FROM customer)")
+@query(f"SELECT node_1, edge, node_2, array_to_string(regexp_extract_all({_TREE}, '\\((NNP|NNS) ([^()]+)\\)', 2), ' ') AS nouns FROM graph")
 def ml7_tree_nouns(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "customer", "c_custkey", "c_mktsegment").withColumn("tree", F.expr(_TREE))
-    return rows.select("c_custkey", F.array_join(E.tree_nouns(F.col("tree")), " ").alias("nouns"))
+    rows = table(spark, d, "graph", "node_1", "edge", "node_2")
+    return rows.select("node_1", "edge", "node_2", F.array_join(E.tree_nouns(F.expr(_TREE)), " ").alias("nouns"))
 
 
 @query()
@@ -165,9 +172,10 @@ def ml9_tagged_tokens(spark: SparkSession, d: str) -> DataFrame:
     return E.tagged(table(spark, d, "chunks", "chunk_id", "text"), "chunk_id", "text", {"asthma": "DISEASE", "entropy": "CONCEPT", "noise": "CONCEPT", "reason": "CONCEPT"})
 
 
-@query(r"SELECT p_partkey, regexp_extract(p_name || ' GmbH & Co. KG', 'GmbH & Co\. KG') AS form FROM part")
+@query(r"SELECT doc_id, nullif(regexp_extract(text, '(?i)\b(GmbH & Co\. KG|GmbH|AG|KG|OHG|UG|Ltd\.?|LLP|Inc\.?|S\.A\.|SE)(?:\W|$)', 1), '') AS form FROM documents")
 def ml12_company_forms(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part", "p_partkey", "p_name").select("p_partkey", E.company_form(F.concat("p_name", F.lit(" GmbH & Co. KG"))).alias("form"))
+    """The first legal form in every text; many tell of registered companies."""
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", E.company_form(F.col("text")).alias("form"))
 
 
 @query()

@@ -93,47 +93,70 @@ def jn19_nodes_with_community(spark: SparkSession, d: str) -> DataFrame:
     return G.degrees(_simple(spark, d)).join(G.communities(_simple(spark, d)), "node", "left")
 
 
+_GROUPS = """, firsts AS (SELECT node, min(chunk_id) AS first_chunk FROM (SELECT node_1 AS node, chunk_id FROM clean UNION ALL SELECT node_2, chunk_id FROM clean) GROUP BY 1),
+numbers AS (SELECT first_chunk, CAST(row_number() OVER (ORDER BY min(node)) AS INTEGER) AS community FROM firsts GROUP BY 1),
+grouped AS (SELECT node, community FROM firsts JOIN numbers USING (first_chunk))"""
+
+
+def _grouped(spark: SparkSession, d: str) -> DataFrame:
+    return G.numbered_communities(sc17_sk7_vertices(spark, d), "first_chunk")
+
+
+@query(f"WITH {_CLEAN}{_GROUPS} SELECT community, list(node ORDER BY node) AS nodes FROM grouped GROUP BY 1")
+def tk9_gr5_lists_by_first_chunk(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers and sorted lists of groups that SQL can make, too: nodes by the first chunk they stand in."""
+    return G.community_lists(_grouped(spark, d))
+
+
+@query(f"""WITH {_CLEAN}{_SIMPLE}{_GROUPS}, degrees AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM simple UNION ALL SELECT dst FROM simple) GROUP BY 1)
+SELECT node, degree, community FROM degrees LEFT JOIN grouped USING (node)""")
+def jn19_gr6_nodes_by_first_chunk(spark: SparkSession, d: str) -> DataFrame:
+    return G.degrees(_simple(spark, d)).join(_grouped(spark, d), "node", "left")
+
+
 def _authors(spark: SparkSession, d: str) -> DataFrame:
     return split_packed(table(spark, d, "article_info_long", "id", "authors"), "authors", NAMES, ["id"])
 
 
-_SUPPLY = "items AS (SELECT l_orderkey AS id, l_linenumber AS pos, min(l_suppkey) AS val FROM lineitem GROUP BY 1, 2)"
+_LISTED = """names AS (SELECT id, string_split(authors, ', ') AS w FROM article_info_long WHERE authors IS NOT NULL),
+items AS (SELECT id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS val FROM names)"""
 
 
-def _supply(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey").groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("pos")).agg(F.min("l_suppkey").alias("val"))
+def _listed(spark: SparkSession, d: str) -> DataFrame:
+    """Authors as the plain lists they are joined to, without looking into their packing."""
+    return table(spark, d, "article_info_long", "id", "authors").dropna().select("id", F.posexplode(F.split("authors", ", ")).alias("pos", "val"))
 
 
-@query(f"WITH {_SUPPLY} SELECT a.id, a.val AS source, b.val AS target FROM items a JOIN items b ON a.id = b.id AND a.pos < b.pos")
+@query(f"WITH {_LISTED} SELECT a.id, a.val AS source, b.val AS target FROM items a JOIN items b ON a.id = b.id AND a.pos < b.pos")
 def jn10_pairs_in_lists(spark: SparkSession, d: str) -> DataFrame:
-    return G.pairs_in_lists(_supply(spark, d), "id", "pos", "val")
+    return G.pairs_in_lists(_listed(spark, d), "id", "pos", "val")
 
 
-@query(f"WITH {_SUPPLY} SELECT a.val AS source, b.val AS target, count(*) AS weight FROM items a JOIN items b ON a.id = b.id AND a.pos < b.pos GROUP BY 1, 2")
+@query(f"WITH {_LISTED} SELECT a.val AS source, b.val AS target, count(*) AS weight FROM items a JOIN items b ON a.id = b.id AND a.pos < b.pos GROUP BY 1, 2")
 def ag6_directed_weights(spark: SparkSession, d: str) -> DataFrame:
-    return G.weighted(G.pairs_in_lists(_supply(spark, d), "id", "pos", "val"))
+    return G.weighted(G.pairs_in_lists(_listed(spark, d), "id", "pos", "val"))
 
 
-@query(f"WITH {_SUPPLY} SELECT least(a.val, b.val) AS source, greatest(a.val, b.val) AS target, count(*) AS weight FROM items a JOIN items b ON a.id = b.id AND a.pos < b.pos GROUP BY 1, 2")
+@query(f"WITH {_LISTED} SELECT least(a.val, b.val) AS source, greatest(a.val, b.val) AS target, count(*) AS weight FROM items a JOIN items b ON a.id = b.id AND a.pos < b.pos GROUP BY 1, 2")
 def gr7_undirected_weights(spark: SparkSession, d: str) -> DataFrame:
-    return G.weighted(G.pairs_in_lists(_supply(spark, d), "id", "pos", "val"), directed=False)
+    return G.weighted(G.pairs_in_lists(_listed(spark, d), "id", "pos", "val"), directed=False)
 
 
-@query(f"""WITH {_SUPPLY} SELECT a.val AS source, b.val AS target, count(*) AS weight FROM items a JOIN items b ON a.id = b.id AND a.pos < b.pos
+@query(f"""WITH {_LISTED} SELECT a.val AS source, b.val AS target, count(*) AS weight FROM items a JOIN items b ON a.id = b.id AND a.pos < b.pos
 GROUP BY 1, 2 ORDER BY weight DESC, source, target LIMIT 10""")
 def tk4_gr8_heaviest_edges(spark: SparkSession, d: str) -> DataFrame:
-    return G.heaviest(G.weighted(G.pairs_in_lists(_supply(spark, d), "id", "pos", "val")), 10)
+    return G.heaviest(G.weighted(G.pairs_in_lists(_listed(spark, d), "id", "pos", "val")), 10)
 
 
 @query()
 def gr7_coauthors(spark: SparkSession, d: str) -> DataFrame:
-    """Co-authorship edges between the authors as typed."""
+    """Co-authorship edges between the authors as the packed fields name them."""
     return G.weighted(G.pairs_in_lists(_authors(spark, d), "id", "pos", "val"))
 
 
-@query("SELECT c_name AS label, CAST(row_number() OVER (ORDER BY c_name) - 1 AS INTEGER) AS id FROM (SELECT DISTINCT c_name FROM customer)")
+@query(f"WITH {_LISTED} SELECT val AS label, CAST(row_number() OVER (ORDER BY val) - 1 AS INTEGER) AS id FROM (SELECT DISTINCT val FROM items)")
 def wn6_numbered_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return G.numbered_nodes(table(spark, d, "customer"), "c_name")
+    return G.numbered_nodes(_listed(spark, d), "val")
 
 
 @query()

@@ -73,12 +73,17 @@ def ag20_compression(spark: SparkSession, d: str) -> DataFrame:
     return coding.compression(ml24_codebooks(spark, d))
 
 
-@query("""WITH b AS (SELECT c_nationkey AS key, c_mktsegment AS symbol, count(*) AS n FROM customer GROUP BY 1, 2)
-SELECT key, CAST(sum(length(symbol) * n) AS BIGINT) AS coded_bits, CAST(sum(n) * 8 AS BIGINT) AS plain_bits, round(100.0 * (1 - sum(length(symbol) * n) / (sum(n) * 8)), 6) AS reduction FROM b GROUP BY 1""")
+@query("""WITH b AS (SELECT key, symbol, count(*) AS n FROM (SELECT doc_id AS key, unnest(string_split(text, '')) AS symbol FROM documents WHERE text <> '') WHERE symbol <> '' GROUP BY 1, 2),
+coded AS (SELECT key, n, ceil(log2(count(*) OVER (PARTITION BY key))) AS bits FROM b)
+SELECT key, CAST(sum(bits * n) AS BIGINT) AS coded_bits, CAST(sum(n) * 8 AS BIGINT) AS plain_bits, round(100.0 * (1 - sum(bits * n) / (sum(n) * 8)), 6) AS reduction FROM coded GROUP BY 1""")
 def ag20_sf26_sizes(spark: SparkSession, d: str) -> DataFrame:
-    """The size formula, with segment names for codes."""
-    books = table(spark, d, "customer", F.col("c_nationkey").alias("key"), F.col("c_mktsegment").alias("code")).groupBy("key", "code").agg(F.count("*").alias("n"))
-    return coding.compression(books).withColumn("reduction", F.round("reduction", 6))
+    """The size formula over all symbols of every text, with codes of one length for each text."""
+    from pyspark.sql import Window
+
+    symbols = table(spark, d, "documents", F.col("doc_id").alias("key"), F.explode(F.split("text", "")).alias("symbol")).filter("symbol <> ''")
+    books = symbols.groupBy("key", "symbol").agg(F.count("*").alias("n"))
+    bits = F.ceil(F.log2(F.count("*").over(Window.partitionBy("key")).cast("double")))
+    return coding.compression(books.withColumn("code", F.repeat(F.lit("0"), bits.cast("int")))).withColumn("reduction", F.round("reduction", 6))
 
 
 def _pendulums(spark: SparkSession, d: str) -> DataFrame:

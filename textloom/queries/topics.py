@@ -49,11 +49,11 @@ def pf13_sf24_positions_above(spark: SparkSession, d: str) -> DataFrame:
     return T.above_threshold(rows, "embedding", 0.13).select("vec_id", "topics")
 
 
-_PROBS = "probs AS (SELECT vec_id, round(abs(CAST(embedding[i] AS DOUBLE)), 4) AS prob FROM embeddings, (SELECT unnest(range(1, 9)) AS i))"
+_PROBS = "probs AS (SELECT vec_id, round(abs(CAST(embedding[i] AS DOUBLE)), 4) AS prob FROM embeddings, (SELECT unnest(range(1, 65)) AS i))"
 
 
 def _probabilities(spark: SparkSession, d: str) -> DataFrame:
-    cells = table(spark, d, "embeddings", "vec_id", "embedding").select("vec_id", F.explode(F.slice("embedding", 1, 8)).alias("x"))
+    cells = table(spark, d, "embeddings", "vec_id", "embedding").select("vec_id", F.explode("embedding").alias("x"))
     return cells.select("vec_id", F.round(F.abs(F.col("x").cast("double")), 4).alias("prob"))
 
 
@@ -109,7 +109,14 @@ def ag10_npmi(spark: SparkSession, d: str) -> DataFrame:
     return T.npmi(_topic_words(spark, d), texts, "abstract").withColumn("npmi", F.round("npmi", 6))
 
 
-@query()
+@query(f"""WITH {_WORDS.replace("SELECT list_filter", "SELECT id, list_filter")}, tw AS (SELECT Topic AS topic, unnest(Representation) AS word, unnest(range(0, len(Representation))) AS place FROM topic_info),
+docs AS (SELECT id, w, greatest(len(w) - 10, 0) AS last FROM texts WHERE len(w) > 0), total AS (SELECT CAST(sum(greatest(len(w) - 9, 1)) AS DOUBLE) AS m FROM docs),
+spots AS (SELECT id, last, unnest(range(0, len(w))) AS pos, unnest(w) AS word FROM docs),
+held AS (SELECT DISTINCT id, word, unnest(range(greatest(pos - 9, 0), least(pos, last) + 1)) AS win FROM spots WHERE word IN (SELECT word FROM tw)),
+one AS (SELECT word, count(*) AS n FROM held GROUP BY 1), two AS (SELECT x.word AS a, y.word AS b, count(*) AS n FROM held x JOIN held y ON x.id = y.id AND x.win = y.win AND x.word <> y.word GROUP BY 1, 2),
+pairs AS (SELECT x.topic, coalesce(t.n, 0) / m + 1e-12 AS pij, coalesce(o.n, 0) / m AS pi, coalesce(p.n, 0) / m AS pj FROM tw x JOIN tw y ON x.topic = y.topic AND x.place < y.place CROSS JOIN total
+LEFT JOIN one o ON o.word = x.word LEFT JOIN one p ON p.word = y.word LEFT JOIN two t ON t.a = x.word AND t.b = y.word)
+SELECT topic, round(avg(CASE WHEN pi * pj = 0 THEN 0 ELSE coalesce(ln(pij / (pi * pj)) / nullif(-ln(pij), 0), 0) END), 6) AS coherence FROM pairs GROUP BY 1""")
 def ml17_window_coherence(spark: SparkSession, d: str) -> DataFrame:
     texts = table(spark, d, "article_info_long", "id", "abstract")
     return T.window_coherence(_topic_words(spark, d), texts, "id", "abstract").withColumn("coherence", F.round("coherence", 6))

@@ -18,9 +18,9 @@ ARTICLES = "id long, pubmed_id string, title string, publication_date string, jo
 def read_delimited(spark: SparkSession, path: str, schema: str, sep: str = "\t", header: bool = False, columns: list[str] | None = None, quote: str = '"', escaped: bool = False) -> DataFrame:
     """A delimited file; a row that doesn't fit the schema fails the job. Projection reaches the scan.
 
-    ``escaped`` reads line ends and backslashes as ``write_delimited`` escapes them.
+    ``escaped`` reads nulls, line ends and backslashes as ``write_delimited`` escapes them.
     """
-    df = spark.read.csv(path, schema=schema, sep=sep, header=header, quote=quote, escape='"', mode="FAILFAST", enforceSchema=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    df = spark.read.csv(path, schema=schema, sep=sep, header=header, quote=quote, escape='"', mode="FAILFAST", enforceSchema=True, nullValue="\\N" if escaped else "", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     df = df.select(*columns) if columns else df
     return df.withColumns({f.name: _unescaped(F.col(f"`{f.name}`")) for f in df.schema if f.dataType == T.StringType()}) if escaped else df
 

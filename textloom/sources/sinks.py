@@ -14,17 +14,18 @@ def write_spaced(df: DataFrame, path: str) -> None:
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = ",", header: bool = True, escaped: bool = False) -> None:
-    """Quoted where needed; nulls are empty, empty texts are quoted.
+    """Quoted where needed; nulls and empty texts are empty fields.
 
-    ``escaped`` writes line ends as ``\\n`` and ``\\r``, so every row stays on one line and the files
-    can be split; ``read_delimited`` undoes it.
+    ``escaped`` writes nulls as ``\\N``, and line ends as ``\\n`` and ``\\r``, so every row stays on one
+    line and the files can be split; ``read_delimited`` undoes it.
     """
     if escaped:
         text = {c: F.col(f"`{c}`") for c, kind in df.dtypes if kind == "string"}
         for old, new in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")):
             text = {c: F.replace(x, F.lit(old), F.lit(new)) for c, x in text.items()}
         df = df.withColumns(text)
-    df.write.mode("overwrite").csv(path, sep=sep, header=header, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    null = "\\N" if escaped else ""
+    df.write.mode("overwrite").csv(path, sep=sep, header=header, quote='"', escape='"', nullValue=null, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def append_by_term(df: DataFrame, path: str, term: str) -> None:
