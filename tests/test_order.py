@@ -85,3 +85,14 @@ def test_article_feed_reads_a_folder_a_day(spark, tmp_path):
 
 def test_page_text():
     assert page_text("<head><title>t</title></head><p>a &lt;b&gt;\n c<script>x()</script></p><p>d</p>") == "a <b> c d"
+
+
+def test_folders_are_cleared(spark):
+    from textloom.plans.scratch import clear
+
+    scratch = Scratch(spark, "t")
+    scratch.write(spark.range(3).toDF("n"), "rows")
+    scratch.save("note", "é")
+    assert scratch.load("note") == "é" and scratch.load("other") is None
+    clear(spark)
+    assert scratch.load("note") is None

@@ -67,3 +67,13 @@ def test_positions_keys_and_clashing_columns(spark):
 
 def test_very_long_field(spark):
     assert len(split(spark, ", ".join(f"Name N{i}" for i in range(3000)))) == 3000
+
+
+def test_names_of_groups_by_other_lists(spark):
+    """The lists are parameters: groups and degrees that the fixed ones don't know."""
+    from textloom.operators.packed import name_packing
+
+    packing = name_packing(degrees=("OBE",), group_parts=("stage\\s+\\d",), group_ends=("federation\\b",))
+    df = spark.createDataFrame([(1, "Ann Field, OBE; Heart and Lung Federation; Cough Trialists, Stage 2; Bo Day and Cy Lane")], "id int, x string")
+    got = [r.val for r in split_packed(df, "x", packing, ["id"]).orderBy("pos").collect()]
+    assert got == ["Ann Field, OBE", "Heart and Lung Federation", "Cough Trialists, Stage 2", "Bo Day", "Cy Lane"]

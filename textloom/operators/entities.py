@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.plans.order import met
+
 
 #: Terms of a vocabulary that texts are searched for.
 MOST_TERMS = 100_000
@@ -48,19 +50,18 @@ def sentence_numbers(tokens: DataFrame, order: Column, index: str) -> DataFrame:
     return tokens.withColumn("sentence", F.sum(F.coalesce(falls, F.lit(0))).over(at.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def tagged(texts: DataFrame, key: str, text: str, vocabulary: dict[str, str]) -> DataFrame:
-    """``key, token, entity``: every word with its vocabulary label or ``No entity``."""
-
-    labels = F.create_map(*(F.lit(x) for pair in vocabulary.items() for x in pair)) if vocabulary else F.lit(None).cast("map<string,string>")
+def tagged(texts: DataFrame, key: str, text: str, vocabulary: DataFrame) -> DataFrame:
+    """``key, token, entity``: every word with its label in the vocabulary (``term, entity``, each term once) or ``No entity``."""
     tokens = texts.select(F.col(key).cast("string").alias("key"), F.explode(F.regexp_extract_all(F.col(text), F.lit("[\\p{L}\\p{N}_]+"), F.lit(0))).alias("token"))
-    return tokens.select("key", "token", F.coalesce(F.element_at(labels, F.lower("token")), F.lit("No entity")).alias("entity"))
+    known = vocabulary.select(F.col("term").alias("__term"), "entity")
+    return tokens.join(known, F.lower("token") == F.col("__term"), "left").select("key", "token", F.coalesce("entity", F.lit("No entity")).alias("entity"))
 
 
 def noun_phrases(tokens: Column, tags: Column) -> Column:
     """Phrases of an optional determiner, adjectives and a noun: the grammar runs over the tag string."""
-    joined = F.array_join(F.transform(F.arrays_zip(tokens.alias("w"), tags.alias("t")), lambda x: F.concat(x["w"], F.lit("/"), x["t"])), " ")
-    found = F.regexp_extract_all(joined, F.lit("(?:\\S+/DT )?(?:\\S+/JJ )*\\S+/NN(?=\\s|$)"), F.lit(0))
-    return F.transform(found, lambda p: F.regexp_replace(p, "/[A-Z]+", ""))
+    joined = F.array_join(F.transform(F.arrays_zip(tokens.alias("w"), tags.alias("t")), lambda x: F.concat(x["w"], F.lit("/"), x["t"], F.lit(" "))), "")
+    found = F.regexp_extract_all(joined, F.lit("(?:\\S+/DT )?(?:\\S+/JJ )*\\S+/NN "), F.lit(0))
+    return F.transform(found, lambda p: F.rtrim(F.regexp_replace(p, "/[A-Z]+ ", " ")))
 
 
 def tree_nouns(tree: Column) -> Column:
@@ -76,8 +77,7 @@ def company_form(name: Column) -> Column:
 
 def related(mentions: DataFrame, doc: str, place: str, entity: str, classify: Callable[[str, str], int]) -> DataFrame:
     """``doc, entity_1, entity_2, relation``: a pluggable class id for every two mentions, earlier first."""
-    a = mentions.select(doc, F.col(place).alias("__p"), F.col(entity).alias("entity_1"))
-    pairs = a.join(mentions.select(doc, F.col(place).alias("__q"), F.col(entity).alias("entity_2")), doc).filter("__p < __q")
+    pairs = met(mentions.select(doc, place, entity), doc, {place: "__p", entity: "entity_1"}, {place: "__q", entity: "entity_2"}).filter("__p < __q")
 
     @F.pandas_udf("int")
     def label(x: pd.Series, y: pd.Series) -> pd.Series:

@@ -29,16 +29,20 @@ LIST_QUOTED = "(?<=^\\s{0,8}|,\\s{0,8})(?:'(?:[^'\\\\]|\\\\.)*'|\"(?:[^\"\\\\]|\
 
 @dataclass(frozen=True)
 class Packing:
-    """How a field packs its values: what is kept whole, and where the rest is split."""
+    """How a field packs its values: what is kept whole, and where the rest is split.
 
-    keep: tuple[str, ...]
+    Each pattern of ``keep`` comes with a text that every span of it holds: fields without that
+    text need no search.
+    """
+
+    keep: tuple[tuple[str, str], ...]
     split: str
 
 
-#: Degrees, particles of surnames, words that end the name of a group.
-_DEGREE = ",\\s*(?:MD|M\\.D\\.|PhD|Ph\\.D\\.|DSc|MSc|MPH|FRCP|RN|Jr\\.?|Sr\\.?)" + _END
-_PHASE = ",\\s*(?i:phase)\\s+[IVX\\d]+\\s+\\w+\\.?"
-_JOINED = "\\w+\\s+(?:and|&)\\s+\\w+\\s+(?i:cons?o\\w*m\\b|cons\\.|alliance\\b|collaboration\\b)"
+# Degrees after a comma, what may follow a comma within the name of a group, words that end one that is joined by "and".
+DEGREES = ("MD", "M\\.D\\.", "PhD", "Ph\\.D\\.", "DSc", "MSc", "MPH", "FRCP", "RN", "Jr\\.?", "Sr\\.?")
+GROUP_PARTS = ("phase\\s+[IVX\\d]+\\s+\\w+\\.?",)
+GROUP_ENDS = ("cons?o\\w*m\\b", "cons\\.", "alliance\\b", "collaboration\\b")
 _SURNAME_FIRST = (
     f"{_START}(?:(?i:van\\s+der|van\\s+den|van|von|v\\.\\s?d\\.|de\\s+la|de|di|da|dos|el|al)\\s+)?"
     f"[\\p{{L}}'’\\-]+\\s?,[ \\u00a0]*(?=[\\p{{L}}])[^,;|/\\n\\t{OPEN}]+"
@@ -47,15 +51,24 @@ _SURNAME_FIRST = (
 #: A lone word is no full name, so one that ends an entry belongs to what stands before its comma.
 _LONE_GIVEN = f"{_START}[^,;|/\\n\\t{OPEN}]+,[ \\u00a0]*[\\p{{L}}'’\\-]{{2,}}(?=\\s*(?:[;|/\\n\\t]|$))"
 
-#: Persons and groups: a comma after a lone surname belongs to the name.
-NAMES = Packing((QUOTED, _PHASE, _DEGREE, _JOINED, _SURNAME_FIRST, _LONE_GIVEN), f"{_SEP}|\\s+(?:and|&)\\s+|^and\\s+")
+
+def name_packing(degrees: tuple[str, ...] = DEGREES, group_parts: tuple[str, ...] = GROUP_PARTS, group_ends: tuple[str, ...] = GROUP_ENDS) -> Packing:
+    """Persons and groups: a comma after a lone surname belongs to the name. The lists are patterns of the field's own kind."""
+    degree = f",\\s*(?:{'|'.join(degrees)}){_END}"
+    part = f",\\s*(?i:{'|'.join(group_parts)})"
+    joined = f"\\w+\\s+(?:and|&)\\s+\\w+\\s+(?i:{'|'.join(group_ends)})"
+    keep = ((QUOTED, '"'), (part, ","), (degree, ","), (joined, ""), (_SURNAME_FIRST, ","), (_LONE_GIVEN, ","))
+    return Packing(keep, f"{_SEP}|\\s+(?:and|&)\\s+|^and\\s+")
+
+
+NAMES = name_packing()
 #: Numbered labels: a separator counts only where another label or the end follows.
 LABELS = Packing(
-    (QUOTED, f"-?\\d+_(?s:(?!\\s*{_SEP}[\\s,;|/]*(?:-?\\d+_|\"|{OPEN}|$)).)+"),
+    ((QUOTED, '"'), (f"-?\\d+_(?s:(?!\\s*{_SEP}[\\s,;|/]*(?:-?\\d+_|\"|{OPEN}|$)).)+", "_")),
     _SEP,
 )
 #: Plain values: only quoted spans are kept whole.
-PLAIN = Packing((QUOTED,), _SEP)
+PLAIN = Packing(((QUOTED, '"'),), _SEP)
 
 
 def _mark(text: Column, spans: Column, pattern: str, applies: Column) -> tuple[Column, Column]:
@@ -110,7 +123,7 @@ def split_packed(df: DataFrame, value: str, packing: Packing, keys: list[str], v
     listed = F.col("__text").startswith("[") & F.col("__text").endswith("]") & F.col("__text").rlike("^\\[\\s*(?:[\"']|\\])")
     df = df.withColumn("__list", listed).withColumn("__text", F.when(listed, F.expr("substring(__text, 2, length(__text) - 2)")).otherwise(F.col("__text")))
     df = df.withColumn("__spans", F.array().cast("array<string>"))
-    for pattern, applies in ((LIST_QUOTED, F.col("__list")), *((p, ~F.col("__list")) for p in packing.keep)):
+    for pattern, applies in ((LIST_QUOTED, F.col("__list")), *((p, ~F.col("__list") & F.col("__text").contains(held)) for p, held in packing.keep)):
         text, spans = _mark(F.col("__text"), F.col("__spans"), pattern, applies)
         df = df.withColumns({"__text": text, "__spans": spans})
     pieces = F.split("__text", packing.split, -1)

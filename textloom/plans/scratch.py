@@ -7,6 +7,8 @@ Only where that setting is missing (local tests) is a temporary folder made.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,11 +22,23 @@ def shared_dir(spark: SparkSession) -> str:
         return path.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    path = "file://" + tempfile.mkdtemp(prefix="textloom-")
+    folder = tempfile.mkdtemp(prefix="textloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = "file://" + folder
     spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
+#: Folders made by this process. Results are read from them, so they stay until ``clear`` is called.
+_MADE: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the folders of all operators run so far, once no result of theirs is needed any more."""
+    while _MADE:
+        Scratch(spark, "", _MADE.pop()).drop("")
+
+
 class Scratch:
     """Tables of one run of an operator, in a folder of its own."""
 
@@ -32,6 +46,8 @@ class Scratch:
         """A new folder below the shared one, or the folder ``root``, which may hold tables of an earlier session."""
         self.spark = spark
         self.root = root.rstrip("/") if root else f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        if not root:
+            _MADE.append(self.root)
 
     def path(self, key: str) -> str:
         return f"{self.root}/{key}"

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import entities as E
-from textloom.operators.packed import NAMES, split_packed
 from textloom.plans.session import table
 from textloom.registry import query
 
@@ -97,9 +96,10 @@ def sf9_without_stop_words(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents", "doc_id", "text").dropna(subset=["text"]).select("doc_id", F.size(T.without_stop_words(T.words(F.col("text")), ["the", "of", "and"])).cast("long").alias("kept"))
 
 
-@query()
+@query(r"""SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(text, '[!-/:-@\[-`{-~]', ' ', 'g'), '[0-9]+', '', 'g'), '[\s\x{00a0}\x{0085}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'),
+lambda t: t <> '' AND lower(t) NOT IN ('the', 'of', 'and')) AS tokens FROM documents WHERE text IS NOT NULL""")
 def sf10_topic_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents", "doc_id", "text").select("doc_id", T.topic_tokens(F.col("text"), ["the", "of", "and"]).alias("tokens"))
+    return table(spark, d, "documents", "doc_id", "text").dropna(subset=["text"]).select("doc_id", T.topic_tokens(F.col("text"), ["the", "of", "and"]).alias("tokens"))
 
 
 @query("SELECT id, split_part(pubmed_id, E'\\n', 1) AS own FROM article_info_long")
@@ -159,17 +159,39 @@ def ml7_tree_nouns(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("node_1", "edge", "node_2", F.array_join(E.tree_nouns(F.expr(_TREE)), " ").alias("nouns"))
 
 
-@query()
+# a tagger without a model: closed classes by list, adjectives and verbs by their endings, else nouns
+_DETERMINERS = "the a an this that these those each every some any no".split()
+_CLOSED = "is was were are be been has have had do does did can could may might must shall should will would in of and or to by with from at on for as but if than not it its he she they we you i who which what there then so".split()
+_JJ, _VB = "(?:al|ic|ive|ous|ful|less|able|ible|ary)$", "(?:ed|ing|izes?|ifies|ly)$"
+
+
+def _tag(w: Column) -> Column:
+    closed = F.when(w.isin(_DETERMINERS), "DT").when(w.isin(_CLOSED), "X")
+    return closed.when((F.length(w) > 4) & w.rlike(_JJ), "JJ").when((F.length(w) > 4) & w.rlike(_VB), "X").otherwise("NN")
+
+
+def _sql_list(values: list[str]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+@query(rf"""WITH joined AS (SELECT doc_id, array_to_string(list_transform(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda w: w || '/' || CASE WHEN w IN ({_sql_list(_DETERMINERS)}) THEN 'DT' WHEN w IN ({_sql_list(_CLOSED)}) THEN 'X'
+WHEN length(w) > 4 AND regexp_matches(w, '{_JJ}') THEN 'JJ' WHEN length(w) > 4 AND regexp_matches(w, '{_VB}') THEN 'X' ELSE 'NN' END || ' '), '') AS j FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, list_transform(regexp_extract_all(j, '(?:\S+/DT )?(?:\S+/JJ )*\S+/NN '), lambda p: rtrim(regexp_replace(p, '/[A-Z]+ ', ' ', 'g'))) AS phrases FROM joined""")
 def ml6_noun_phrases(spark: SparkSession, d: str) -> DataFrame:
-    """Tags come from a small lexicon; a plain word counts as a noun."""
-    tokens = T.words(F.col("text"))
-    tag = F.transform("tokens", lambda w: F.when(w.isin("the", "a", "an", "this"), "DT").when(w.isin("long", "open", "cold", "early", "bounded", "double"), "JJ").when(w.isin("is", "was", "were", "in", "of", "and", "to", "by", "with"), "X").otherwise("NN"))
+    """Tags come from lists and endings; the grammar runs over them."""
+    tokens, tag = T.words(F.col("text")), F.transform("tokens", _tag)
     return table(spark, d, "documents", "doc_id", "text").dropna(subset=["text"]).select("doc_id", tokens.alias("tokens")).withColumn("tags", tag).select("doc_id", E.noun_phrases(F.col("tokens"), F.col("tags")).alias("phrases"))
 
 
-@query()
+@query(r"""WITH terms AS (SELECT term, min(entity) AS entity FROM (SELECT lower(trim(node_1)) AS term, 'CONCEPT' AS entity FROM graph UNION ALL SELECT lower(trim(node_2)), 'CONCEPT' FROM graph
+UNION ALL SELECT lower(unnest(Representation)), 'TOPIC' FROM topic_info) WHERE regexp_matches(term, '^[\p{L}\p{N}_]+$') GROUP BY 1)
+SELECT chunk_id AS key, token, coalesce(entity, 'No entity') AS entity FROM (SELECT chunk_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS token FROM chunks) LEFT JOIN terms ON lower(token) = term""")
 def ml9_tagged_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return E.tagged(table(spark, d, "chunks", "chunk_id", "text"), "chunk_id", "text", {"asthma": "DISEASE", "entropy": "CONCEPT", "noise": "CONCEPT", "reason": "CONCEPT"})
+    """The vocabulary: all labels of the graph that are one word, and the words of the topics."""
+    labels = table(spark, d, "graph", "node_1", "node_2").select(F.explode(F.array("node_1", "node_2")).alias("term")).select(F.lower(F.trim("term")).alias("term"), F.lit("CONCEPT").alias("entity"))
+    topics = table(spark, d, "topic_info", "Representation").select(F.explode(F.transform("Representation", F.lower)).alias("term"), F.lit("TOPIC").alias("entity"))
+    terms = labels.unionByName(topics).filter(F.col("term").rlike("^[\\p{L}\\p{N}_]+$")).groupBy("term").agg(F.min("entity").alias("entity"))
+    return E.tagged(table(spark, d, "chunks", "chunk_id", "text"), "chunk_id", "text", terms)
 
 
 @query(r"SELECT doc_id, nullif(regexp_extract(text, '(?i)\b(GmbH & Co\. KG|GmbH|AG|KG|OHG|UG|Ltd\.?|LLP|Inc\.?|S\.A\.|SE)(?:\W|$)', 1), '') AS form FROM documents")
@@ -178,8 +200,9 @@ def ml12_company_forms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents", "doc_id", "text").select("doc_id", E.company_form(F.col("text")).alias("form"))
 
 
-@query()
+@query("""WITH names AS (SELECT id, string_split(authors, ', ') AS w FROM article_info_long WHERE authors IS NOT NULL), items AS (SELECT id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS val FROM names)
+SELECT a.id, a.val AS entity_1, b.val AS entity_2, CAST(CASE WHEN a.val = b.val THEN 2 WHEN split_part(a.val, ' ', 1) = split_part(b.val, ' ', 1) THEN 1 ELSE 0 END AS INTEGER) AS relation FROM items a JOIN items b ON a.id = b.id AND a.pos < b.pos""")
 def jn11_ml11_related_entities(spark: SparkSession, d: str) -> DataFrame:
-    """Every two authors of an article with an offline class: whether they share the first letter."""
-    authors = split_packed(table(spark, d, "article_info_long", "id", "authors"), "authors", NAMES, ["id"])
-    return E.related(authors, "id", "pos", "val", lambda a, b: int(a[:1] == b[:1]))
+    """Every two authors of an article with an offline class: 2 for the same name, 1 for the same first word, else 0."""
+    authors = table(spark, d, "article_info_long", "id", "authors").dropna().select("id", F.posexplode(F.split("authors", ", ")).alias("pos", "val"))
+    return E.related(authors, "id", "pos", "val", lambda a, b: 2 if a == b else int(a.split(" ")[0] == b.split(" ")[0]))

@@ -159,9 +159,13 @@ def wn6_numbered_nodes(spark: SparkSession, d: str) -> DataFrame:
     return G.numbered_nodes(_listed(spark, d), "val")
 
 
-@query()
+_HEADED = ["entropy", "noise", "asthma", "reason", "memory", "order", "chance"]
+
+
+@query(rf"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM documents), p AS (SELECT doc_id, w, unnest(range(2, len(w) + 1)) AS i FROM t)
+SELECT DISTINCT doc_id AS doc, w[i] AS entity, w[i - 1] AS head FROM p WHERE w[i] IN ({", ".join(f"'{w}'" for w in _HEADED)})""")
 def gr9_ml8_entity_heads(spark: SparkSession, d: str) -> DataFrame:
-    return G.entity_heads(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", ["entropy", "noise", "asthma", "reason", "memory", "order", "chance"])
+    return G.entity_heads(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", _HEADED)
 
 
 @query(f"WITH {_CLEAN} SELECT node, min(chunk_id) AS first_chunk FROM (SELECT node_1 AS node, chunk_id FROM clean UNION ALL SELECT node_2, chunk_id FROM clean) GROUP BY 1")
