@@ -235,8 +235,8 @@ def communities(graph: DataFrame, splits: int = 2, most_edges: int = 10_000) ->
 
 def numbered_communities(found: DataFrame, group: str) -> DataFrame:
     """``node, community``: groups numbered from 1 in the order of their least nodes."""
-    least = found.groupBy(group).agg(F.min("node").alias("least"))
-    number = numbered(least, [F.col("least")], "community").select(group, F.col("community").cast("int").alias("community"))
+    least = found.groupBy(group).agg(F.min("node").alias("__least"))
+    number = numbered(least, [F.col("__least")], "community").select(group, F.col("community").cast("int").alias("community"))
     return found.join(number, group).select("node", "community")
 
 
