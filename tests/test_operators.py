@@ -136,3 +136,28 @@ def test_failing_client_gives_no_rows(spark):
     assert extraction.extracted(chunks, "triples", Failing()).count() == 0
     assert extraction.extracted(chunks, "triples", Prose()).count() == 0
     assert extraction.extracted(chunks, "triples", extraction.RuleClient()).count() > 0
+
+
+def test_a_trained_head_tells_relevant_pairs(spark):
+    """Held-out accuracy: documents that hold the query's tokens against those that don't."""
+    from textloom.operators import rankers
+
+    rng = np.random.default_rng(5)
+    unit = lambda v: (v / np.linalg.norm(v)).tolist()
+    queries, documents, pairs = [], [], []
+    for i in range(120):
+        tokens = [rng.normal(size=16) for _ in range(3)]
+        queries += [(i, p, unit(t)) for p, t in enumerate(tokens)]
+        relevant = i % 2
+        documents += [(i, p, unit(rng.normal(size=16) + (4 * tokens[p] if relevant and p < 3 else 0))) for p in range(8)]
+        pairs.append((i, i, relevant))
+    q = spark.createDataFrame(queries, "qid long, pos int, vector array<double>")
+    d = spark.createDataFrame(documents, "docid long, pos int, vector array<double>")
+    p = spark.createDataFrame(pairs, "qid long, docid long, relevant int")
+    features = rankers.kernel_features(q, d, p.select("qid", "docid")).join(p, ["qid", "docid"])
+    weights, offset = rankers.trained_head(features.filter("qid < 80"), "relevant")
+    held = features.filter("qid >= 80").collect()
+    right = sum((np.dot(r.kernels, weights) + offset > 0) == bool(r.relevant) for r in held)
+    assert len(held) == 40 and right >= 36
+    scores = rankers.kernel_scores(q, d, p.select("qid", "docid"), weights).filter("qid >= 80").collect()
+    assert all(abs(s.score - np.dot(next(r for r in held if r.qid == s.qid).kernels, weights)) < 1e-6 for s in scores)

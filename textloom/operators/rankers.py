@@ -20,14 +20,33 @@ def kernel_scores(query_vectors: DataFrame, document_vectors: DataFrame, pairs:
     ``query_vectors`` and ``document_vectors`` have ``qid|docid, pos, vector``. The relational form:
     explode, exp, sum over the document, log, sum over the query.
     """
-    means, widths = kernel_means(len(weights)), kernel_widths(len(weights))
+    total = sum((F.get("kernels", F.lit(i)) * w for i, w in enumerate(weights)), F.lit(0.0))
+    return kernel_features(query_vectors, document_vectors, pairs, len(weights)).select("qid", "docid", total.alias("score"))
+
+
+def kernel_features(query_vectors: DataFrame, document_vectors: DataFrame, pairs: DataFrame, kernels: int = 11) -> DataFrame:
+    """``qid, docid, kernels``: the log sums that the head of the ranker weighs."""
+    means, widths = kernel_means(kernels), kernel_widths(kernels)
     q = query_vectors.select("qid", F.col("pos").alias("qpos"), F.col("vector").alias("qv"))
     d = document_vectors.select("docid", F.col("vector").alias("dv"))
     met = pairs.join(q, "qid").join(d, "docid").select("qid", "docid", "qpos", dot(F.col("qv"), F.col("dv")).alias("s"))
-    kernels = [F.sum(F.exp(-0.5 * ((F.col("s") - m) / w) ** 2)).alias(f"k{i}") for i, (m, w) in enumerate(zip(means, widths, strict=True))]
-    pooled = met.groupBy("qid", "docid", "qpos").agg(*kernels)
-    total = sum((F.sum(F.ln(F.greatest(F.col(f"k{i}"), F.lit(FLOOR)))) * w for i, w in enumerate(weights)), F.lit(0.0))
-    return pooled.groupBy("qid", "docid").agg(total.alias("score"))
+    sums = [F.sum(F.exp(-0.5 * ((F.col("s") - m) / w) ** 2)).alias(f"k{i}") for i, (m, w) in enumerate(zip(means, widths, strict=True))]
+    pooled = met.groupBy("qid", "docid", "qpos").agg(*sums)
+    logs = F.array(*(F.sum(F.ln(F.greatest(F.col(f"k{i}"), F.lit(FLOOR)))) for i in range(kernels)))
+    return pooled.groupBy("qid", "docid").agg(logs.alias("kernels"))
+
+
+def trained_head(features: DataFrame, relevant: str, regularisation: float = 0.01, rounds: int = 50) -> tuple[list[float], float]:
+    """Weights of the kernels and an offset, by logistic regression on all judged pairs (``kernels`` and a 0/1 column).
+
+    Gradients are summed by the tasks; only the weights come to the driver.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    rows = features.select(array_to_vector("kernels").alias("features"), F.col(relevant).cast("double").alias("label"))
+    model = LogisticRegression(regParam=regularisation, maxIter=rounds).fit(rows)
+    return [float(w) for w in model.coefficients], float(model.intercept)
 
 
 def score_in_batches(pairs: DataFrame, keys: list[str], score, batch: str = "double") -> DataFrame:  # noqa: ANN001

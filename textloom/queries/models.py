@@ -37,6 +37,19 @@ def ml19_sf22_kernel_scores(spark: SparkSession, d: str) -> DataFrame:
     return rankers.kernel_scores(q, docs, near, _WEIGHTS).withColumn("score", F.round("score", 4))
 
 
+@query()
+def ml19_trained_head(spark: SparkSession, d: str) -> DataFrame:
+    """Scores by a head that is fitted on judged pairs: a pair is relevant if the query's first vector has the label of most of the document's."""
+    q, docs, near = _vectors(spark, d)
+    labels = table(spark, d, "embeddings", "vec_id", "label")
+    wanted = labels.filter("vec_id % 8 = 0").select(F.floor(F.col("vec_id") / 8).cast("long").alias("qid"), F.col("label").alias("wanted"))
+    held = labels.groupBy(F.floor(F.col("vec_id") / 12).cast("long").alias("docid"), "label").agg(F.count("*").alias("n"))
+    held = held.groupBy("docid").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("held"))
+    judged = rankers.kernel_features(q, docs, near).join(wanted, "qid").join(held, "docid").withColumn("relevant", (F.col("wanted") == F.col("held")).cast("int"))
+    weights, offset = rankers.trained_head(judged, "relevant")
+    return judged.select("qid", "docid", "relevant", (sum((F.get("kernels", F.lit(i)) * w for i, w in enumerate(weights)), F.lit(offset))).alias("score"))
+
+
 @query()
 def ml20_ml22_context_scores(spark: SparkSession, d: str) -> DataFrame:
     q, docs, near = _vectors(spark, d)
