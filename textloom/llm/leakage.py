@@ -49,8 +49,19 @@ def words(text: str) -> list[str]:
     return _WORDS.findall(_POINT.sub("", text))
 
 
+#: Hashes of words seen by this process, up to MOST_KNOWN of them: most words of a text have been seen before.
+_KNOWN: dict[str, int] = {}
+MOST_KNOWN = 500_000
+
+
 def _hashed(tokens: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(t) for t in tokens), dtype=np.uint64, count=len(tokens))
+    for token in tokens:
+        if token not in _KNOWN:
+            _KNOWN[token] = xxhash.xxh64_intdigest(token)
+    hashes = np.fromiter(map(_KNOWN.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+    if len(_KNOWN) > MOST_KNOWN:
+        _KNOWN.clear()
+    return hashes
 
 
 def _shingles(hashes: np.ndarray) -> np.ndarray:
@@ -67,11 +78,10 @@ def _shingles(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _places(shingles: np.ndarray, bits: int) -> list[np.ndarray]:
-    """The places of each shingle in a filter of ``bits`` bits, a power of two."""
+def _place(shingles: np.ndarray, bits: int, k: int) -> np.ndarray:
+    """The k-th place of each shingle in a filter of ``bits`` bits, a power of two."""
     with np.errstate(over="ignore"):
-        second = (shingles >> np.uint64(33)) | np.uint64(1)
-        return [(shingles + np.uint64(k) * second) & np.uint64(bits - 1) for k in range(PLACES)]
+        return (shingles + np.uint64(k) * ((shingles >> np.uint64(33)) | np.uint64(1))) & np.uint64(bits - 1)
 
 
 def carries(document: np.ndarray, passage: np.ndarray, run: int, diagonals: np.ndarray) -> bool:
@@ -147,7 +157,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str, text: str, i
 
     @F.pandas_udf("array<long>")
     def filter_places(h: pd.Series) -> pd.Series:
-        return pd.Series(np.stack(_places(h.to_numpy().view(np.uint64), bits), axis=1).astype(np.int64).tolist())
+        return pd.Series(np.stack([_place(h.to_numpy().view(np.uint64), bits, k) for k in range(PLACES)], axis=1).astype(np.int64).tolist())
 
     set_bits = vocabulary.select(F.explode(filter_places("h")).alias("place"))
     set_bits = set_bits.groupBy((F.col("place") / 64).cast("long").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("bits"))
@@ -160,18 +170,23 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str, text: str, i
         field = shared_field.value
         for frame in frames:
             rows = []
-            for doc, body in frame.itertuples(index=False, name=None):
-                hashes = _hashed(words(body))
-                own = _shingles(hashes)
-                at = np.arange(len(own))
-                for k in range(PLACES):
-                    place = _places(own[at], bits)[k]
-                    at = at[(field[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1]
-                if not len(at):
-                    continue
+            # the texts of a batch are looked up at once: a shingle must not reach into the next text
+            hashed = [_hashed(words(body)) for body in frame["text"]]
+            flat = np.concatenate(hashed) if hashed else np.empty(0, dtype=np.uint64)
+            of = np.repeat(np.arange(len(hashed)), [len(h) for h in hashed])
+            starts = np.cumsum([0, *(len(h) for h in hashed)])
+            shingles = _shingles(flat)
+            at = np.flatnonzero(of[: len(shingles)] == of[SHINGLE - 1 :]) if len(shingles) else np.empty(0, dtype=np.int64)
+            for k in range(PLACES):
+                place = _place(shingles[at], bits, k)
+                at = at[(field[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1]
+            docs, firsts = np.unique(of[at], return_index=True)
+            for doc, found in zip(docs, np.split(at, firsts[1:]) if len(docs) else (), strict=True):
+                own = found - starts[doc]
                 # bound on count and position: a leak has `needed` hits within the reach of one window
-                near = len(at) >= needed and (at[needed - 1 :] - at[: len(at) - needed + 1] <= per_window).any()
-                rows.append((doc, hashes.view(np.int64).tolist() if near else None, [{"h": h, "p": p} for h, p in zip(own[at].view(np.int64).tolist(), at.tolist(), strict=True)]))
+                near = len(own) >= needed and (own[needed - 1 :] - own[: len(own) - needed + 1] <= per_window).any()
+                hits = [{"h": h, "p": p} for h, p in zip(shingles[found].view(np.int64).tolist(), own.tolist(), strict=True)]
+                rows.append((frame["doc"].iloc[doc], hashed[doc].view(np.int64).tolist() if near else None, hits))
             yield pd.DataFrame(rows, columns=["doc", "words", "hits"])
 
     texts = documents.select(F.col(f"`{doc_id}`").alias("doc"), F.col(f"`{text}`").cast("string").alias("text")).filter((F.length("text") > run) & F.col("doc").isNotNull())
