@@ -161,3 +161,21 @@ def test_a_trained_head_tells_relevant_pairs(spark):
     assert len(held) == 40 and right >= 36
     scores = rankers.kernel_scores(q, d, p.select("qid", "docid"), weights).filter("qid >= 80").collect()
     assert all(abs(s.score - np.dot(next(r for r in held if r.qid == s.qid).kernels, weights)) < 1e-6 for s in scores)
+
+
+def test_clustered_topics_are_named_by_their_own_words(spark):
+    """Class-based weights by hand: a word counts where it is frequent in one cluster and rare in the others."""
+    from textloom.operators import topics
+
+    vectors = spark.createDataFrame([(i, [10.0, 0.0] if i % 2 else [0.0, 10.0]) for i in range(20)], "id long, v array<double>")
+    texts = spark.createDataFrame([(i, ["odd", "odd", "both"] if i % 2 else ["even", "both", f"rare{i}"]) for i in range(20)], "id long, w array<string>")
+    got = {tuple(r.Representation): r for r in topics.clustered_topics(vectors, "id", "v", texts, "w", k=2, words=2).collect()}
+    assert set(got) == {("odd", "both"), ("even", "both")} and all(r.Count == 10 for r in got.values())
+    assert all(r.Name == f"{r.Topic}_{'_'.join(r.Representation)}" for r in got.values())
+
+
+def test_sentences_begin_where_the_index_falls(spark):
+    rows = [(0, 1), (1, 2), (2, 3), (3, 1), (4, 2), (5, 2), (6, 9)]
+    df = spark.createDataFrame(rows, "at int, i int")
+    got = entities.sentence_numbers(df, F.col("at"), "i").orderBy("at").collect()
+    assert [r.sentence for r in got] == [0, 0, 0, 1, 1, 2, 2] and got[0].asDict().keys() == {"at", "i", "sentence"}

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.plans.order import met
+from textloom.plans.order import met, numbered, running
 
 
 #: Terms of a vocabulary that texts are searched for.
@@ -45,9 +45,10 @@ def contains_any(rows: DataFrame, text: str, vocabulary: DataFrame, term: str) -
 
 def sentence_numbers(tokens: DataFrame, order: Column, index: str) -> DataFrame:
     """Adds ``sentence``: a new one starts where the index doesn't rise. ``order`` is the arrival order."""
-    at = Window.orderBy(order)
-    falls = (F.col(index) <= F.lag(index).over(at)).cast("int")
-    return tokens.withColumn("sentence", F.sum(F.coalesce(falls, F.lit(0))).over(at.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = numbered(tokens, [order], "__n")
+    before = rows.select((F.col("__n") + 1).alias("__n"), F.col(index).alias("__before"))
+    falls = F.coalesce((F.col(index) <= F.col("__before")).cast("int"), F.lit(0))
+    return running(rows.join(before, "__n", "left"), [], [F.col("__n")], falls, "sentence").drop("__n", "__before")
 
 
 def tagged(texts: DataFrame, key: str, text: str, vocabulary: DataFrame) -> DataFrame:
