@@ -1,6 +1,6 @@
 import pytest
 
-from textloom.operators.packed import CLOSE, LABELS, NAMES, OPEN, PLAIN, split_packed
+from textloom.operators.packed import CLOSE, EDGE, LABELS, NAMES, OPEN, PLAIN, split_packed
 
 
 def split(spark, value, packing=NAMES):
@@ -52,8 +52,8 @@ def test_labels(spark, value, expected):
 
 
 def test_marks_in_the_text_do_not_collide(spark):
-    text = f'{OPEN}0{CLOSE} x, "a, b", {OPEN}e{OPEN}'
-    assert split(spark, text, PLAIN) == [f"{OPEN}0{CLOSE} x", "a, b", f"{OPEN}e{OPEN}"]
+    text = f'{OPEN}0{CLOSE} x, "a, b", {OPEN}e{OPEN}m{EDGE}y{EDGE}'
+    assert split(spark, text, PLAIN) == [f"{OPEN}0{CLOSE} x", "a, b", f"{OPEN}e{OPEN}m{EDGE}y{EDGE}"]
 
 
 def test_positions_keys_and_clashing_columns(spark):

@@ -15,12 +15,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "", ""
+#: Stands on both sides of a span while it is taken out.
+EDGE = "\ue002"
+ESCAPED_EDGE = OPEN + "m"
 ESCAPED = OPEN + "e"
 BLANKS = "[\\s\\u00a0\\u2000-\\u200b\\u202f\\u205f\\u3000\\ufeff]"
 
 _SEP = "[,;|/\\n\\t]"
-#: What may stand before a value: the start of the field, a separator, or the last connector.
-_START = f"(?<=^\\s{{0,8}}|{_SEP}\\s{{0,8}}|\\band\\s|&\\s)"
+#: What may stand before a value: the start of the field, a separator, or the last connector. The first part looks at one
+#: character and rules out most places at once.
+_START = f"(?<![^\\s,;|/])(?<=^\\s{{0,8}}|{_SEP}\\s{{0,8}}|\\band\\s|&\\s)"
 _END = f"(?=\\s*(?:{_SEP}|$)|\\s+(?:and|&)\\s)"
 
 QUOTED = f'{_START}"(?:[^"\\\\]|\\\\.|"")*"{_END}'
@@ -71,18 +75,13 @@ LABELS = Packing(
 PLAIN = Packing(((QUOTED, '"'),), _SEP)
 
 
-def _mark(text: Column, spans: Column, pattern: str, applies: Column) -> tuple[Column, Column]:
-    """Take the spans of one pattern out of ``text``; the k-th gets the next free index."""
-    found = F.when(applies, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    outside = F.when(applies, F.split(text, pattern, -1)).otherwise(F.array(text))
-    marked = F.array_join(
-        F.transform(
-            outside,
-            lambda part, i: F.when(i < F.size(outside) - 1, F.concat(part, F.lit(OPEN), (F.size(spans) + i).cast("string"), F.lit(CLOSE))).otherwise(part),
-        ),
-        "",
-    )
-    return marked, F.concat(spans, found)
+def _mark(df: DataFrame, pattern: str, applies: Column) -> DataFrame:
+    """Take the spans of one pattern out of ``__text``; the k-th gets the next free index. One search finds and parts them."""
+    found = F.when(applies, F.split(F.regexp_replace("__text", F.lit(pattern), F.lit(f"{EDGE}$0{EDGE}")), EDGE, -1)).otherwise(F.array("__text"))
+    df = df.withColumn("__parts", found)
+    held = F.size("__spans")
+    marked = F.transform("__parts", lambda part, i: F.when(i % 2 == 0, part).otherwise(F.concat(F.lit(OPEN), (held + F.floor(i / 2)).cast("string"), F.lit(CLOSE))))
+    return df.withColumns({"__text": F.array_join(marked, ""), "__spans": F.concat("__spans", F.filter("__parts", lambda part, i: i % 2 == 1))}).drop("__parts")
 
 
 def _restore(piece: Column, spans: Column) -> Column:
@@ -118,17 +117,16 @@ def split_packed(df: DataFrame, value: str, packing: Packing, keys: list[str], v
     if {val, pos} & set(keys):
         raise ValueError("keys may not be named like the columns of the result")
     df = df.select(*(F.col(f"`{k}`").alias(k) for k in keys), F.col(f"`{value}`").cast("string").alias("__text"))
-    clean = _trim(F.replace(F.col("__text"), F.lit(OPEN), F.lit(ESCAPED)))
+    clean = _trim(F.replace(F.replace(F.col("__text"), F.lit(OPEN), F.lit(ESCAPED)), F.lit(EDGE), F.lit(ESCAPED_EDGE)))
     df = df.withColumn("__text", clean).filter(F.length("__text") > 0)
     listed = F.col("__text").startswith("[") & F.col("__text").endswith("]") & F.col("__text").rlike("^\\[\\s*(?:[\"']|\\])")
     df = df.withColumn("__list", listed).withColumn("__text", F.when(listed, F.expr("substring(__text, 2, length(__text) - 2)")).otherwise(F.col("__text")))
     df = df.withColumn("__spans", F.array().cast("array<string>"))
     for pattern, applies in ((LIST_QUOTED, F.col("__list")), *((p, ~F.col("__list") & F.col("__text").contains(held)) for p, held in packing.keep)):
-        text, spans = _mark(F.col("__text"), F.col("__spans"), pattern, applies)
-        df = df.withColumns({"__text": text, "__spans": spans})
+        df = _mark(df, pattern, applies)
     pieces = F.split("__text", packing.split, -1)
     for _ in range(3):  # a kept span may hold one kept earlier
         pieces = F.transform(pieces, lambda p: _restore(p, F.col("__spans")))
-    pieces = F.transform(pieces, lambda p: F.replace(_trim(_unquote(_trim(p))), F.lit(ESCAPED), F.lit(OPEN)))
+    pieces = F.transform(pieces, lambda p: F.replace(F.replace(_trim(_unquote(_trim(p))), F.lit(ESCAPED_EDGE), F.lit(EDGE)), F.lit(ESCAPED), F.lit(OPEN)))
     pieces = F.filter(pieces, lambda p: F.length(p) > 0)
     return df.select(*(F.col(f"`{k}`") for k in keys), F.posexplode(pieces).alias(pos, val)).withColumn(pos, (F.col(pos) + 1).cast("int"))
