@@ -48,7 +48,9 @@ def connected_components(edges: DataFrame, scratch: Scratch, label: str, src: st
     pairs = scratch.write(pairs, f"{label}-0")
     before, k = _state(pairs), 0
     if before[0] <= FEW:
-        return scratch.write(pairs.coalesce(1).mapInArrow(_followed, "node long, component long"), label)
+        members = scratch.write(pairs.coalesce(1).mapInArrow(_followed, "node long, component long"), label)
+        scratch.drop(f"{label}-0")
+        return members
     while before[0]:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
