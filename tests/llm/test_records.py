@@ -213,7 +213,7 @@ def test_assignment_is_optimal():
 SAME = [
     ("Lopez, Maria Anna", "Lopez, Anna Maria"), ("Chen, Weiming", "Chne, Weiming"), ("Wang, Jianhua", "Wnag, Jianhua"), ("Wells, Catherine", "Wells, Katherine"),
     ("Meyerhof, Bert", "Meyerhof, Albert"), ("tre Borgmann, Anna", "ter Borgmann, Anna"), ("Smithson, John Robert", "Smithson, John R."), ("Dahlen, Karl-Otto", "Dahlen, Karl O."),
-    ("Hillman, Bob James", "Hillman, Robert James"), ("Lundberg, Marialuz", "Lundberg, Maria-Luz"), ("Ek Forest Sleep Registry Study Group of the Western Coast and Northern Hills of Old Land", "Ek Forest Sleep Registry Study Group of the Western Caost and Northern Hills of Old Land"),
+    ("Hillman, Bob James", "Hillman, Robert James"), ("Al Sayed, Omar", "Al-Sayed, Omar"), ("García López, María", "Garcia Lopez, Maria"), ("Lundberg, Marialuz", "Lundberg, Maria-Luz"), ("Ek Forest Sleep Registry Study Group of the Western Coast and Northern Hills of Old Land", "Ek Forest Sleep Registry Study Group of the Western Caost and Northern Hills of Old Land"),
 ]
 OTHER = [("Zorn, Anna", "Zorn, Susanna"), ("Falk, Anna", "Falk, Anna-Lena"), ("Cheng, Wei", "Chen, Wei"), ("Moorland, Kim", "Moorland, Tim"), ("Bramwell, Sanna", "Bramwell, Anna"), ("Corbusch, John R.", "Corbusch, John Q.")]
 

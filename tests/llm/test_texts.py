@@ -163,6 +163,9 @@ def test_list_levels():
         "- One item\n  wrapped on.", "Two here", "- nested. Really", "- Next item", "Plain text goes.", "On here.",
     ]
     assert pieces_of("Measured 1.5 mg daily\n2.5 mg weekly. Done.") == ["Measured 1.5 mg daily\n2.5 mg weekly.", "Done."]
+    assert pieces_of("Steps:\n  a) first\n  b) second (see\n     below). More here\n  c) third") == ["Steps:", "a) first", "b) second (see\n     below).", "More here", "c) third"]
+    assert pieces_of("I. Intro\nII. Methods and\nmore. Text.") == ["I. Intro", "II. Methods and\nmore.", "Text."]
+    assert pieces_of("I. Kant wrote it. He did.\nV. Hugo did not.") == ["I. Kant wrote it.", "He did.", "V. Hugo did not."]
     assert pieces_of("1. One\n1.1 Below\n1.2 Below too\n2 Two") == ["1. One", "1.1 Below", "1.2 Below too", "2 Two"]
 
 

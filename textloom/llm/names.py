@@ -97,11 +97,13 @@ def _particle(token: str, pieces: list[str]) -> tuple[str, bool]:
     return letters, len(token) - len(small) < 2
 
 
-def _glued(text: str) -> tuple[list[tuple[str, bool]], bool]:
-    """(token as typed, is a surname with its particles) of a person's name; whether a surname stands before a comma."""
+def _glued(text: str) -> tuple[list[tuple[str, bool]], int]:
+    """(token as typed, is a surname with its particles) of a person's name; how many of them stand before a comma."""
     head, comma, tail = text.partition(",")
     out: list[tuple[str, bool]] = []
+    before = 0
     for part in (head, tail):
+        before = before or len(out)
         run, pieces = "", part.split()
         for k, token in enumerate(pieces):
             particle, open_ = _particle(token, pieces)
@@ -122,7 +124,7 @@ def _glued(text: str) -> tuple[list[tuple[str, bool]], bool]:
             out[0] = (_PARTICLE_SHORT.get(run, run) + _BOUND + out[0][0], True)
         elif run:
             out.append((run, False))
-    return out, bool(comma and head.strip() and tail.strip())
+    return out, before if comma and tail.strip() else 0
 
 
 def parse(name: str) -> tuple[bool, int, list[str], str]:
@@ -136,9 +138,9 @@ def parse(name: str) -> tuple[bool, int, list[str], str]:
                 tokens.extend(_ACRONYMS.get(token, [token]))
         return True, -1, tokens, ""
     text = _QUOTED.sub(" ", _DEGREE.sub("", text)).strip()
-    pieces, comma = _glued(text)
+    pieces, before = _glued(text)
     tokens, initials, surname = [], "", -1
-    for token, known in pieces:
+    for place, (token, known) in enumerate(pieces):
         letters = re.sub(r"[^\w]", "", token)
         if not letters:
             continue
@@ -147,8 +149,10 @@ def parse(name: str) -> tuple[bool, int, list[str], str]:
             initials += fold(letters)
             continue
         folded = fold(token.replace(".", ""))
-        if folded:
-            if known or comma and not tokens and not initials:
+        if folded and place < before and surname == 0:
+            tokens[0] += f"-{folded}"  # a surname of several words, as if they were joined
+        elif folded:
+            if known or place < before and not tokens:
                 surname = len(tokens)
             tokens.append(folded)
     return False, surname, tokens, initials

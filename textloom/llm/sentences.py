@@ -44,9 +44,11 @@ _OPENS = re.compile("[" + re.escape("".join({*_PAIRS, *_CLOSED_BY} - {'"', "”"
 _CLOSE = frozenset("”“»«›)]）」』】》\"")
 
 _BREAK = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+|\r\n[^\S\n]*\r\n\s*")
-_BULLET = re.compile(r"[^\S\n]*[*•‣▪◦●·‐\-][^\S\n]+\S")
+_BULLET = re.compile(r"[^\S\n]*(?:\*{1,4}|[•‣▪◦●·‐\-])[^\S\n]+\S")
 _NUMBERED = re.compile(r"[^\S\n]*(?:\(?\d{1,2}[.)]|[a-z]\))[^\S\n]+\S")
-_PATH = re.compile(r"[^\S\n]*\(?(\d{1,2}(?:\.\d{1,2})*)[.)]?[^\S\n]+\S")
+_PATH = re.compile(r"[^\S\n]*\(?(?:(\d{1,2}(?:\.\d{1,2})*)[.)]?|([a-z])\)|([IVX]{1,5})[.)])[^\S\n]+\S")
+#: Roman numerals of list items.
+_ROMAN = "I II III IV V VI VII VIII IX X XI XII XIII XIV XV XVI XVII XVIII XIX XX".split()
 _INDENT = re.compile(r"[^\S\n]*")
 _MARK = re.compile(r"[.!?…。！？．｡।॥؟۔]+|[“”„«»‹›()\[\]（）「」『』【】《》\"]|\n")
 _AFTER = re.compile(rf"(?:[{re.escape(CLOSERS)}]|</\w+>|<sup>[^<>]*</sup>|[¹²³⁴-⁹⁰]|[^\S\n]+[»”](?=[\s,.]|$))*")
@@ -159,7 +161,7 @@ def _ends_here(text: str, mark: int, after: int, tail: int, start: int, end: int
         number = re.search(r"(?:^|[^\w.,])(\d{1,3})$", text[max(start, mark - 5) : mark])
         if number:
             return False
-    if before.isdigit() and re.fullmatch(r"\s*\(?\d{1,2}(?:\.\d{1,2}){0,5}", text[start:mark][:40]):
+    if (before.isdigit() or before in "IVX") and re.fullmatch(r"\s*\(?(?:\d{1,2}(?:\.\d{1,2}){0,5}|[IVX]{2,5})", text[start : min(mark, start + 40)]):
         return False  # the number of a list item
     return True
 
@@ -237,6 +239,18 @@ def _block(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
         yield begin, end
 
 
+def _number(line: re.Match | None) -> tuple[int, ...]:
+    """The number of an item as a path; letters and Roman numerals are paths of their own kind."""
+    if not line:
+        return ()
+    digits, letter, roman = line.groups()
+    if digits:
+        return tuple(map(int, digits.split(".")))
+    if letter:
+        return -1, ord(letter) - 96
+    return (-2, _ROMAN.index(roman) + 1) if roman in _ROMAN else ()
+
+
 def _goes_on(levels: list[tuple[int, tuple[int, ...]]], path: tuple[int, ...]) -> bool:
     """Whether a number is the next one, or the first below, of an open list level."""
     return any(own and path in ((*own[:-1], own[-1] + 1), (*own, 1)) for _, own in levels)
@@ -254,8 +268,7 @@ def _units(text: str) -> Iterator[tuple[int, int]]:
             nl = text.find("\n", line, end)
             nl = end if nl < 0 else nl
             indent = _INDENT.match(text, line, nl).end()
-            number = _PATH.match(text, line, nl)
-            path = tuple(map(int, number.group(1).split("."))) if number else ()
+            path = _number(_PATH.match(text, line, nl))
             # a number opens an item only where a line can't be running on, or where a list level expects it
             if _BULLET.match(text, line, nl) or (fresh or item and lines == 1) and _NUMBERED.match(text, line, nl) or path and _goes_on(levels, path):
                 if run < line:
@@ -270,6 +283,8 @@ def _units(text: str) -> Iterator[tuple[int, int]]:
             elif item:
                 yield from _item(text, run, line, lines)
                 run, item, levels = line, False, []
+            if not item and fresh and path == (-2, 1):
+                levels = [(indent - line, path)]  # an initial, unless a second numeral follows
             fresh = text[line:nl].rstrip()[-1:] in ".!?:;"
             line = nl + 1
         if run < end:
