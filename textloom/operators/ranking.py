@@ -88,7 +88,7 @@ def top_document(ranking: DataFrame) -> DataFrame:
 
 def most_relevant(rows: DataFrame, query: str, document: str, relevance: str, seed: int | None = None) -> DataFrame:
     """One most relevant row per query. Ties go to the least document id, or with a seed to the least hash: a reproducible draw."""
-    tie = F.col(document) if seed is None else F.xxhash64(F.col(document), F.lit(seed))
+    tie = F.col(document) if seed is None else F.md5(F.concat_ws("|", F.col(document), F.lit(str(seed))))
     first = [F.col(relevance).isNull(), -F.col(relevance), tie.isNull(), tie, F.col(document)]
     key = F.struct(*(c.alias(f"k{i}") for i, c in enumerate(first)), F.struct(*rows.columns).alias("row"))
     # the least of a group is combined map-side, so a query with many rows needs no task of its own
