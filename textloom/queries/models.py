@@ -19,7 +19,8 @@ def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFra
     unit = F.transform("embedding", lambda x: x.cast("double"))
     q = v.select(F.floor(F.col("vec_id") / 8).cast("long").alias("qid"), (F.col("vec_id") % 8).cast("int").alias("pos"), unit.alias("vector"))
     docs = v.select(F.floor(F.col("vec_id") / 12).cast("long").alias("docid"), (F.col("vec_id") % 12).cast("int").alias("pos"), unit.alias("vector"))
-    near = q.select("qid").distinct().join(docs.select("docid").distinct(), F.abs(F.col("qid") - F.col("docid")) <= 1)
+    around = docs.select("docid").distinct().select("docid", F.explode(F.sequence(F.col("docid") - 1, F.col("docid") + 1)).alias("qid"))
+    near = q.select("qid").distinct().join(around, "qid")
     return q, docs, near
 
 
