@@ -237,3 +237,31 @@ def test_mixture(spark):
     empty, shares = mix_sources(d.limit(0), t, "doc_id", "text", "source", counter)
     assert empty.count() == 0 and shares.count() == 3
     assert d.select(source_name(d.source)).distinct().count() == 4
+
+
+def test_targets_are_read_like_documents(spark):
+    """A target typed otherwise, twice: its shares add up and the larger number of repeats holds."""
+    docs = spark.createDataFrame([(i, "w w w", "web_pages" if i % 2 else "Books ") for i in range(40)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("Web Pages", 0.25, 1), ("web-pages", 0.25, 4), ("books", 0.5, 2), (None, 0.1, 1)], "source string, target_share double, max_repeats int")
+    mixture, report = mix_sources(docs, targets, "doc_id", "text", "source", counter)
+    rows = {r.source: r for r in report.collect()}
+    assert {s: (r.target_share, r.max_repeats) for s, r in rows.items()} == {"web_pages": (0.5, 4), "books": (0.5, 2)}
+    assert all(abs(r.reached_share - 0.5) < 0.03 for r in rows.values()) and mixture.count() >= 39
+
+
+def test_bands_leave_nothing_out(spark):
+    """Few grades, many ties and one grade only: the bands that can only be empty are left out, and no row is."""
+    from textloom.llm.topn import top_n_per_group
+
+    rng = random.Random(21)
+    rows = [(f"g{rng.randrange(60)}", f"i{rng.randrange(400):03}", rng.choice([0, 0, 0, 1, 1, 2, 3])) for _ in range(3000)]
+    for part in (rows, [(g, i, 1) for g, i, _ in rows], rows[:5]):
+        best = {}
+        for g, i, s in part:
+            best[g, i] = max(s, best.get((g, i), s))
+        expected = set()
+        for g in {g for g, _ in best}:
+            ranked = sorted((-s, i) for (h, i), s in best.items() if h == g)[:3]
+            expected |= {(g, i, -s, r) for r, (s, i) in enumerate(ranked, 1)}
+        got = top_n_per_group(spark.createDataFrame(part, "g string, i string, s int"), "g", "i", "s", 3)
+        assert {tuple(r) for r in got.collect()} == expected
