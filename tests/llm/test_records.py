@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from textloom.llm.components import connected_components
 from textloom.llm.consensus import consensus
@@ -164,6 +165,25 @@ def test_runs_are_compacted_and_ranged(spark, monkeypatch):
     assert store.state["bounds"]["title"] and store.state["compacted"] and len(store.state["runs"]) <= 4
 
 
+def test_numbers_rule_out_most_pairs(monkeypatch):
+    rng = random.Random(12)
+    rows = []
+    for node in range(2000):
+        t = f"wheeze and eczema in children of {rng.choice('abcdefgh')}olufan after winter"
+        rows.append((f"{t}{histories._TIE}{node:019d}", node, histories.HELD if node % 3 else node % 7, None, None if node % 50 == 0 else str(node), None, t, False, "||"))
+    names = ["key", "node", "at", "cls", "p", "d", "t", "cut", "mark"]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string()]
+    table = pa.table([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+    table = table.append_column("kind", pa.array(["title"] * 2000)).append_column("range", pa.array([0] * 2000, pa.int32()))
+    met, asked = histories._met, []
+    monkeypatch.setattr(histories, "_met", lambda kind, a, b: asked.append((a, b)) or met(kind, a, b))
+    links = histories._range_links(False)(table).to_pylist()
+    # own numbers that differ are never one article: only rows without one are looked at, 16 times each
+    assert 0 < len(asked) < 16 * 2 * 50
+    own = {node: p for _, node, _, _, p, *_ in rows}
+    assert links and all(own[x["a"]] is None or own[x["b"]] is None for x in links)
+
+
 def test_commits_and_ranges_change_no_decision(spark, monkeypatch):
     rng = random.Random(10)
     stems = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(6)) for _ in range(25)]
