@@ -244,6 +244,17 @@ def test_spellings_of_every_kind(spark):
     assert [p for p in SAME if got[p[0]] != got[p[1]]] == [] and [p for p in OTHER if got[p[0]] == got[p[1]]] == []
 
 
+def test_deletes_of_tokens_are_never_broadcast(spark, tmp_path):
+    path = str(tmp_path / "tokens")
+    spark.createDataFrame([(f"token{k}",) for k in range(300)], "token string").coalesce(1).write.parquet(path)
+    near = linking.near_tokens(spark.read.parquet(path))
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    got = {(r.a, r.b) for r in near.collect()}
+    words = [f"token{k}" for k in range(300)]
+    assert got == {(a, b) for a in words for b in words if a != b and linking.near_words(a, b)}
+
+
 def test_an_initial_joins_only_what_it_fits(spark):
     names = ["Arkwright, John R.", "Arkwright, John Robert", "Bexhill, John R.", "Bexhill, John Robert", "Bexhill, John Rupert", "Colmore, J.", "Colmore, James", "Colmore, John", "Dunmore, J.", "Dunmore, John"]
     got = {r.val: r.class_id for r in link_names(spark.createDataFrame([(n,) for n in names], "val string"), "val").collect()}

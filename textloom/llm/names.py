@@ -294,7 +294,8 @@ def near_tokens(tokens: DataFrame, token: str = "token", least: int = 4) -> Data
     whole, bare = F.replace(F.col(token), F.lit(_BOUND), F.lit("")), F.element_at(F.split(token, _BOUND), -1)
     forms = F.array_distinct(F.when(F.length(bare) >= 3, F.array(whole, bare)).otherwise(F.array(whole)))
     index = tokens.select(F.col(token).alias("t"), F.explode(forms).alias("f")).select("t", "f", F.explode(_deletes(F.col("f"))).alias("d"))
-    pairs = index.select(F.col("t").alias("a"), F.col("f").alias("fa"), "d").join(index.select(F.col("t").alias("b"), F.col("f").alias("fb"), "d"), "d")
+    # Spark takes an index for as small as the tokens' file, which it exceeds many times: it is never sent to all tasks
+    pairs = index.select(F.col("t").alias("a"), F.col("f").alias("fa"), "d").hint("merge").join(index.select(F.col("t").alias("b"), F.col("f").alias("fb"), "d"), "d")
     pairs = pairs.filter((F.col("a") < F.col("b")) & (F.abs(F.length("fa") - F.length("fb")) <= 1)).select("a", "b", "fa", "fb").distinct()
 
     @F.pandas_udf("boolean")
@@ -433,7 +434,7 @@ def _compared(sigs: DataFrame, anchors: DataFrame, scratch: Scratch) -> DataFram
     hot = left.groupBy("anchor", "key").count().filter(F.col("count") > HOT).select("anchor", "key", F.lit(True).alias("hot"))
     left = left.join(hot, ["anchor", "key"], "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("sig"), F.lit(SALTS)).cast("int")).otherwise(0))
     right = right.join(hot, ["anchor", "key"], "left").withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    met = left.select("anchor", "key", "salt", F.col("sig").alias("x")).join(right.select("anchor", "key", "salt", F.col("sig").alias("y")), ["anchor", "key", "salt"])
+    met = left.select("anchor", "key", "salt", F.col("sig").alias("x")).hint("merge").join(right.select("anchor", "key", "salt", F.col("sig").alias("y")), ["anchor", "key", "salt"])
     met = met.filter("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
     met = met.join(sigs.select(*(F.col(c).alias(f"{c}_1") for c in fields)), F.col("u") == F.col("sig_1")).join(sigs.select(*(F.col(c).alias(f"{c}_2") for c in fields)), F.col("v") == F.col("sig_2"))
 
